@@ -79,6 +79,7 @@ class Words:
         self.data = raw[keep]
         self.offsets = np.concatenate(([0], np.cumsum(np.flatnonzero(end) + 1 - first)))
         self.docs = np.searchsorted(first, rows)
+        self.starts = first  # in the bytes with separators
 
     def __len__(self) -> int:
         return len(self.offsets) - 1

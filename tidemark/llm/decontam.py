@@ -10,35 +10,48 @@ windows over them, and these are compared word by word.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import workspace
+
 WINDOW, K = 10, 5
 SPAN = WINDOW - K + 1
 #: Rows up to which a side is broadcast; counted first. Beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
-#: Fixed values of the contract: what words are made of, once A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed values of the contract: what separates words, once A-Z are lower-cased.
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once: an expression inside a lambda would be evaluated for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     """Words of a text; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATOR), "")
 
 
 def grams(of: Column, n: int) -> Column:
-    """Hashes of n consecutive words, in order."""
+    """Hashes of n consecutive words, in order. of: a column or lambda variable, no expression."""
     size = F.size(of)
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.xxhash64(F.slice(of, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def winnowed(hashes: Column, span: int) -> Column:
-    """The smallest of each `span` consecutive hashes (of all, if they are fewer), once each."""
-    size = F.size(hashes)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - (span - 1), F.lit(1))), lambda i: F.array_min(F.slice(hashes, i, span)))
-    return F.when(size > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+def winnowed(of: Column, n: int, span: int) -> Column:
+    """Of the hashes of n consecutive words, the smallest of each `span` consecutive ones (of all, if they are fewer), once each."""
+
+    def kept(hashes: Column) -> Column:
+        size = F.size(hashes)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(size - (span - 1), F.lit(1))), lambda i: F.array_min(F.slice(hashes, i, span)))
+        return F.when(size > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(of, lambda w: let(grams(w, n), kept))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -55,56 +68,64 @@ def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", key: st
     equal results, null keys too.
     """
     docs = documents.select(F.col(key).alias("k"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
-    cut = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
-    wide = F.least(F.size("w"), F.lit(WINDOW))
+    sizes = docs.select("k", "h", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     # Every window of the benchmark once, with the items that have it.
-    windows = cut.select("item", wide.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - wide + 1), lambda i: F.array_join(F.slice("w", i, wide), " "))).alias("said"))
-    windows = windows.groupBy("n", "said").agg(F.collect_set("item").alias("items"))
+    cut = workspace.written(benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0), "items")
+    wide = F.least(F.size("w"), F.lit(WINDOW))
+    windows = cut.select("item", wide.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - wide + 1), lambda i: F.slice("w", i, wide))).alias("said"))
+    windows = workspace.written(windows.groupBy("n", "said").agg(F.collect_set("item").alias("items")), "windows")
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most WINDOW values
+    none = F.array().cast("array<string>")
+    if not lengths:
+        return sizes.select(F.col("k").alias(key), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items"))
 
     # Window length n: winnowing with K-grams (fewer words: the whole window) and runs that fit the guarantee.
-    prints, held = None, []
-    for n in lengths:
-        k = min(K, n)
-        kept = F.explode(winnowed(grams(F.split("said", " "), k), n - k + 1)).alias("g")
-        part = windows.where(F.col("n") == n).select(F.lit(n).alias("n"), kept).distinct()
-        prints = part if prints is None else prints.unionByName(part)
-    tokens = docs.select("k", "h", words(F.col("text")).alias("w"))
-    sizes = documents.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.size(words(F.col(text))).cast("long").alias("n_words"))
-    if prints is None:
-        return sizes.select(F.col("k").alias(key), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"))
-    for n in lengths:
+    def prints(df: DataFrame, n: int, of: Column, *ids: str) -> DataFrame:
         k = min(K, n)
-        held.append(tokens.select("k", "h", F.lit(n).alias("n"), F.explode(winnowed(grams(F.col("w"), k), n - k + 1)).alias("g")))
-    met = held[0]
-    for more in held[1:]:
-        met = met.unionByName(more)
-    met = met.join(_small(prints), ["n", "g"]).groupBy("k", "h").agg(F.collect_set(F.struct("n", "g")).alias("met"))
+        return df.select(*ids, F.lit(n).alias("n"), F.explode(winnowed(of, k, n - k + 1)).alias("g"))
+
+    asked = workspace.written(_union([prints(windows.where(F.col("n") == n), n, F.col("said")) for n in lengths]).distinct(), "prints")
+    held = _union([prints(docs, n, words(F.col("text")), "k", "h") for n in lengths])
+    met = held.join(_small(asked), ["n", "g"]).groupBy("k", "h").agg(F.collect_set(F.struct("n", "g")).alias("met"))
+    met = workspace.written(met, "met")
 
     # Documents that share a hash, again: all windows over the shared hashes, word by word.
-    again = docs.join(_small(met), docs.k.eqNullSafe(met.k) & docs.h.eqNullSafe(met.h)).select(docs.k, docs.h, words(docs.text).alias("w"), "met").distinct()
-    starts = None
-    for n in lengths:
+    d, m = docs.alias("d"), _small(met).alias("m")
+    again = d.join(m, F.expr("d.k <=> m.k AND d.h <=> m.h")).selectExpr("d.k", "d.h", "d.text", "m.met").dropDuplicates(["k", "h"])
+
+    def starts(n: int) -> DataFrame:
         k = min(K, n)
-        size = F.size("w")
         mine = F.transform(F.filter("met", lambda x: x["n"] == n), lambda x: x["g"])
-        hashes = grams(F.col("w"), k)
-        anchors = F.filter(F.transform(hashes, lambda x, i: F.when(F.array_contains("mine", x), i + 1)), lambda i: i.isNotNull())
-        over = F.array_distinct(F.flatten(F.transform(anchors, lambda i: F.sequence(F.greatest(i - (n - k), F.lit(1)), F.greatest(F.least(i, size - (n - 1)), F.greatest(i - (n - k), F.lit(1)))))))
-        at = again.withColumn("mine", mine).where(F.size("mine") > 0).where(size >= n).select("k", "h", "w", F.explode(over).alias("at")).where(F.col("at") + (n - 1) <= size)
-        part = at.select("k", "h", "at", F.lit(n).alias("n"), F.array_join(F.slice("w", F.col("at"), n), " ").alias("said"))
-        starts = part if starts is None else starts.unionByName(part)
-    hits = starts.join(_small(windows), ["n", "said"]).select("k", "h", "at", "n", "items")
+
+        def over(w: Column) -> Column:
+            last = F.size(w) - (n - 1)  # where the last window begins
+            hits = lambda g, wanted: F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(wanted, x), i + 1)), lambda i: i.isNotNull())
+            around = lambda i: F.filter(F.sequence(i - (n - k), i), lambda s: (s >= 1) & (s <= last))
+            at = let(mine, lambda wanted: let(grams(w, k), lambda g: F.array_distinct(F.flatten(F.transform(hits(g, wanted), around)))))
+            return F.transform(at, lambda s: F.struct(s.alias("at"), F.slice(w, s, n).alias("said")))
+
+        return again.where(F.exists("met", lambda x: x["n"] == n)).select("k", "h", F.lit(n).alias("n"), F.inline(let(words(F.col("text")), over)))
+
+    hits = _union([starts(n) for n in lengths]).join(_small(windows), ["n", "said"]).select("k", "h", "at", "n", "items")
+    hits = workspace.written(hits, "hits")
     # Words under the hits: each hit adds those beyond the furthest word that hits before it cover.
     before = Window.partitionBy("k", "h").orderBy("at", "n").rowsBetween(Window.unboundedPreceding, -1)
     ends = F.col("at") + F.col("n")
     fresh = F.greatest(ends - F.greatest(F.coalesce(F.max(ends).over(before), F.lit(0)), F.col("at")), F.lit(0))
     covered = hits.select("k", "h", fresh.alias("fresh")).groupBy("k", "h").agg(F.sum("fresh").cast("long").alias("n_hit"))
     items = hits.select("k", "h", F.explode("items").alias("item")).distinct().groupBy("k", "h").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    found = covered.join(items, covered.k.eqNullSafe(items.k) & covered.h.eqNullSafe(items.h)).select(covered.k, covered.h, "n_hit", "items")
-    out = sizes.join(_small(found), sizes.k.eqNullSafe(found.k) & sizes.h.eqNullSafe(found.h), "left")
-    none = F.array().cast("array<string>")
-    return out.select(sizes.k.alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"))
+    c, i = covered.alias("c"), items.alias("i")
+    found = workspace.written(c.join(i, F.expr("c.k <=> i.k AND c.h <=> i.h")).selectExpr("c.k", "c.h", "c.n_hit", "i.items"), "found")
+    s, f = sizes.alias("s"), _small(found).alias("f")
+    out = s.join(f, F.expr("s.k <=> f.k AND s.h <=> f.h"), "left").selectExpr("s.k", "s.n_words", "f.n_hit", "f.items")
+    return out.select(F.col("k").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
