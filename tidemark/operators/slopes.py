@@ -55,13 +55,13 @@ def interval(sub: DataFrame, factor: int, length: int) -> DataFrame:
 
 def vertex_bounds(points: DataFrame, *by: str) -> DataFrame:
     """(by, lo, hi): range of the slope of points (x, y_min, y_max), whose y lies between; without two different x there is none."""
-    means = points.groupBy(*by).agg(F.avg("x").alias("xm"), F.count("*").alias("k"))
+    means = points.groupBy(*by).agg(F.avg("x").alias("xm"), F.count("*").alias("points"))
     xc = F.col("x") - F.col("xm")
     mid = (F.col("y_min") + F.col("y_max")) / 2
     high = F.when(xc > 0, F.col("y_max")).when(xc < 0, F.col("y_min")).otherwise(mid)
     low = F.when(xc > 0, F.col("y_min")).when(xc < 0, F.col("y_max")).otherwise(mid)
-    got = points.join(means, list(by)).groupBy(*by).agg(F.max("k").alias("k"), F.sum(xc * xc).alias("d"), F.sum(xc * low).alias("l"), F.sum(xc * high).alias("h"))
-    return got.where("k > 1 AND d > 0").select(*by, (F.col("l") / F.col("d")).alias("lo"), (F.col("h") / F.col("d")).alias("hi"))
+    got = points.join(means, list(by)).groupBy(*by).agg(F.max("points").alias("points"), F.sum(xc * xc).alias("d"), F.sum(xc * low).alias("l"), F.sum(xc * high).alias("h"))
+    return got.where("points > 1 AND d > 0").select(*by, (F.col("l") / F.col("d")).alias("lo"), (F.col("h") / F.col("d")).alias("hi"))
 
 
 def sampled_ci(sums: DataFrame) -> DataFrame:
