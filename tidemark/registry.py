@@ -110,7 +110,6 @@ def bucket_first_last(spark: SparkSession, sf: str) -> DataFrame:
 X = f"((ts_ms - {ORIGIN}) / {UNIT}.0)"
 SUMS = f"count(*) AS n, sum({X}) AS sx, sum(value) AS sy, sum({X} * value) AS sxy, sum({X} * {X}) AS sxx, sum(value * value) AS syy, min(value) AS mn, max(value) AS mx"
 R = ", ".join(f"round({c}, 4) AS {c}" for c in ("sx", "sy", "sxy", "sxx", "syy"))
-R3 = R.replace(", 4)", ", 5)")
 OLS = f"WITH {S}, o AS (SELECT id, {b(UNIT)} AS b, {SUMS} FROM s GROUP BY ALL)"
 
 
@@ -124,9 +123,10 @@ def ols_sums_minmax(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(buckets.regression_sums(src.from_events(spark, sf), UNIT, ORIGIN), 4)
 
 
-@query(f"{OLS} SELECT id, b, n, {R3} FROM o")
+@query(f"{OLS} SELECT id, b, n, round(degrees(atan((n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0))), 3) AS angle FROM o WHERE n > 1")
 def rollup_ols(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(buckets.roll_up_sums(buckets.regression_sums(src.from_events(spark, sf), HOUR, ORIGIN), UNIT // HOUR).drop("mn", "mx"), 5)
+    t = buckets.roll_up_sums(buckets.regression_sums(src.from_events(spark, sf), HOUR, ORIGIN), UNIT // HOUR)
+    return t.where("n > 1").select("id", "b", "n", F.round(slopes.angle(*map(F.col, ("n", "sx", "sy", "sxy", "sxx"))), 3).alias("angle"))
 
 
 @query("SELECT l_orderkey, l_linenumber, id, CAST(value AS DOUBLE) AS value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) UNPIVOT (value FOR id IN (l_quantity, l_discount, l_tax))")
