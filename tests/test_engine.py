@@ -8,7 +8,9 @@ import pytest
 from tidemark import registry
 from tidemark.functions import timeunits
 from tidemark.operators import patterns, slopes
+from tidemark.plans import scoring, workload
 from tidemark.plans.coverage import Span, coverage
+from tidemark.streaming import rollup
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +20,7 @@ def rows(df):
     return sorted((tuple(map(clean, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", ["dataset_metadata", "m4_timestamps", "rollup_m4", "rollup_minmax", "hash_rank_sample", "bucket_mean_dense", "pattern_exact_two_seg", "pattern_var_length", "pixel_diff", "cached_equals_exact", "coverage_coarsest"])
+@pytest.mark.parametrize("name", ["dataset_metadata", "m4_timestamps", "rollup_m4", "rollup_minmax", "hash_rank_sample", "bucket_mean_dense", "pattern_exact_two_seg", "pattern_var_length", "pixel_diff", "cached_equals_exact", "coverage_coarsest", "row_pattern_sql", "ambiguous_regions", "pattern_cached_equals_exact", "cache_hit_ratio", "prefetch_ranges", "method_cost_summary", "risk_coverage", "shape_detector", "workload_parse", "stream_rollup", "calendar_snap"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in os.listdir(SF):
@@ -78,3 +80,29 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pattern_exact_two_seg"](spark, SF).columns == ["id", "b", "z", "lens", "a0"]
+
+
+def test_match_scores_pair_one_to_one(spark):
+    kind = "id string, b bigint, to bigint"
+    truth = spark.createDataFrame([("a", 0, 5), ("a", 10, 15), ("a", 10, 15), ("b", 1, 2)], kind)
+    found = spark.createDataFrame([("a", 1, 5), ("a", 1, 6), ("a", 30, 35), ("c", 1, 2)], kind)
+    got = {r["id"]: tuple(r)[1:4] for r in scoring.precision_recall(scoring.match_scores(truth, found, 1)).collect()}
+    assert got == {"a": (1, 2, 1), "b": (0, 0, 1), "c": (0, 1, 0)}
+
+
+def test_walk_stays_inside():
+    views = workload.walk(0, 1000, 50)
+    assert len(views) == 50 and all(0 <= v.low < v.high <= 1000 for v in views) and views == workload.walk(0, 1000, 50)
+
+
+def test_rollup_follows_new_files_once(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "ts_ms bigint, id string, value double")
+    inputs, path = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    rows((1, "a", 1.0), (12, "a", 4.0)).write.parquet(inputs)
+    stream = lambda: spark.readStream.schema("ts_ms bigint, id string, value double").parquet(inputs)
+    rollup.follow(stream(), 10, 0, path)
+    rows((3, "a", -2.0)).write.mode("append").parquet(inputs)  # a late point
+    rollup.follow(stream(), 10, 0, path)
+    rollup.follow(stream(), 10, 0, path)
+    got = sorted(tuple(r) for r in rollup.read(spark, path).select("id", "b", "mn", "mx", "n", "sm").collect())
+    assert got == [("a", 0, -2.0, 1.0, 2, -1.0), ("a", 1, 4.0, 4.0, 1, 4.0)]

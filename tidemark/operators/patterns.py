@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -98,3 +99,29 @@ def classified(bounds: DataFrame, low: float, high: float, accuracy: float) -> D
     over = slopes.overshoot(F.col("lo"), F.col("hi"), low, high)
     met = bounds.where((F.col("hi") >= low) & (F.col("lo") <= high)).withColumn("overshoot", over)
     return met.withColumn("confident", F.col("overshoot") <= 1 - accuracy)
+
+
+def alternatives(table: DataFrame, choices: Sequence[Sequence[Segment]], n: int) -> DataFrame:
+    """(id, b, to, lens, a0) of matches of any of the sequences, as repeat() writes them out; each match once."""
+    found = [matches(table, c, n).select("id", "b", "to", "lens", "a0") for c in choices]
+    return reduce(DataFrame.unionByName, found).dropDuplicates(["id", "b", "to", "lens"])
+
+
+def row_pattern(sums: DataFrame, segments: Sequence[Segment], n: int) -> DataFrame:
+    """matches() over non-empty buckets alone, as SQL row patterns see them: gaps are bridged, and one candidate of fixed lengths begins at each row.
+
+    b and to count the non-empty buckets of an id, of which there are at most n.
+    """
+    if any(s.shortest != s.longest for s in segments):
+        raise ValueError("row patterns have fixed lengths")
+    ranked = sums.where("n > 0").withColumn("b", F.row_number().over(Window.partitionBy("id").orderBy("b")).cast("long") - 1)
+    return matches(buckets.dense(ranked, n), segments, n)
+
+
+def ambiguous_regions(found: DataFrame, length: int, pad: int, n: int, gap: int = 0) -> DataFrame:
+    """(id, low, high): buckets around the unconfident ones of classified(), padded, cut to 0..n and merged where at most `gap` buckets lie between."""
+    t = found.where(~F.col("confident")).select("id", F.greatest(F.col("b") - pad, F.lit(0)).alias("low"), F.least(F.col("b") + (length + pad), F.lit(n)).alias("high"))
+    by = Window.partitionBy("id").orderBy("low", "high")
+    reached = F.max("high").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("new", F.coalesce(F.col("low") - reached > gap, F.lit(True)).cast("int")).withColumn("k", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return t.groupBy("id", "k").agg(F.min("low").cast("long").alias("low"), F.max("high").cast("long").alias("high")).select("id", "low", "high")

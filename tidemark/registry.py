@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeunits import DAY, HOUR, group_intervals
-from tidemark.operators import buckets, patterns, slopes, visual
-from tidemark.plans.coverage import Cache, Span, coverage
+from tidemark.functions.timeunits import DAY, HOUR, MINUTE, align, group_intervals, snap_down, snap_up
+from tidemark.operators import buckets, patterns, shapes, slopes, visual
+from tidemark.plans import scoring, workload
+from tidemark.plans.coverage import Cache, Span, coverage, prefetch
 from tidemark.sources import series as src
+from tidemark.streaming import rollup
 
 #: Where the test series begins, and its length in days.
 ORIGIN, DAYS = 1_704_067_200_000, 30
@@ -170,11 +172,11 @@ def ols_angle_grid(spark: SparkSession, sf: str) -> DataFrame:
 FACTOR, LENGTH = 4, 6
 
 
-def _interval() -> str:
-    k, h = FACTOR * LENGTH, 0.5 / FACTOR
+def _interval(factor: int = FACTOR) -> str:
+    k, h = factor * LENGTH, 0.5 / factor
     return (
-        f"WITH {S}, u AS (SELECT id, {b(UNIT // FACTOR)} AS q, min(value) AS mn, max(value) AS mx, count(*) AS n, sum(value) AS sm FROM s GROUP BY ALL), st AS (SELECT id, q // {FACTOR} AS b FROM u WHERE q % {FACTOR} = 0), "
-        f"p AS (SELECT st.id, st.b, CAST(u.n AS DOUBLE) AS w, (u.q + 0.5) / {FACTOR} - st.b AS m, u.sm / u.n AS y, greatest(u.mx - u.sm / u.n, u.sm / u.n - u.mn) AS d, u.sm AS sm FROM st JOIN u ON u.id = st.id AND u.q >= st.b * {FACTOR} AND u.q < st.b * {FACTOR} + {k}), "
+        f"WITH {S}, u AS (SELECT id, {b(UNIT // factor)} AS q, min(value) AS mn, max(value) AS mx, count(*) AS n, sum(value) AS sm FROM s GROUP BY ALL), st AS (SELECT id, q // {factor} AS b FROM u WHERE q % {factor} = 0), "
+        f"p AS (SELECT st.id, st.b, CAST(u.n AS DOUBLE) AS w, (u.q + 0.5) / {factor} - st.b AS m, u.sm / u.n AS y, greatest(u.mx - u.sm / u.n, u.sm / u.n - u.mn) AS d, u.sm AS sm FROM st JOIN u ON u.id = st.id AND u.q >= st.b * {factor} AND u.q < st.b * {factor} + {k}), "
         f"a AS (SELECT id, b, sum(w * m) / sum(w) AS xm, sum(sm) / sum(w) AS ym FROM p GROUP BY ALL HAVING count(*) = {k}), "
         f"z AS (SELECT id, b, sum(w * (m - xm) * (m - xm)) AS sxx, sum(w * (m - xm) * (y - ym)) AS sxy, sum(w * abs(y - ym) * {h} + w * 2 * {h} * d) AS exy, sum(w * abs(m - xm) * 2 * {h}) AS edn, sum(w * (2 * {h}) * (2 * {h}) + w * {h} * {h}) AS eup FROM p JOIN a USING (id, b) GROUP BY ALL), "
         "i AS (SELECT id, b, degrees(atan(sxy / sxx)) AS est, degrees(atan(least((sxy - exy) / (sxx - edn), (sxy - exy) / (sxx + edn + eup), (sxy + exy) / (sxx - edn), (sxy + exy) / (sxx + edn + eup)))) AS lo, degrees(atan(greatest((sxy - exy) / (sxx - edn), (sxy - exy) / (sxx + edn + eup), (sxy + exy) / (sxx - edn), (sxy + exy) / (sxx + edn + eup)))) AS hi FROM z WHERE sxx - edn > 0)"
@@ -352,3 +354,139 @@ def coverage_coarsest(spark: SparkSession, sf: str) -> DataFrame:
     taken, missing = coverage(spans, "m", 0, 150, 20)
     rows = [(s.width, a, z) for s, a, z in taken] + [(0, a, z) for a, z in missing]
     return spark.createDataFrame(rows, "width bigint, low bigint, high bigint")
+
+
+EIGHT = patterns.parse(";".join(["2:10:89", "2:-89:-10"] * 4))
+_pattern("pattern_eight_seg", EIGHT, "longest")
+
+
+def _either(name: str, choices: list[list[patterns.Segment]]) -> None:
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        return _out(patterns.alternatives(patterns.grid(src.from_events(spark, sf), UNIT, ORIGIN, N), choices, N))
+
+    QUERIES[name], ORACLE_SQL[name] = f, " UNION ".join(f"SELECT * FROM ({_matches(c)} {OUT} FROM m)" for c in choices)
+
+
+_either("pattern_repetition", patterns.repeat(patterns.parse("2-3:20:89"), 1, 3))
+_either("pattern_group", [c + patterns.parse("2:20:89") for c in patterns.repeat(patterns.parse("2-3:20:89;2:-89:-20"), 1, 2)])
+
+NON_EMPTY = f"WITH {S}, o AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY b) - 1 AS b, * EXCLUDE (id, b) FROM (SELECT id, {b(HOUR)} AS b, {SUMS.replace(str(UNIT), str(HOUR))} FROM s GROUP BY ALL))"
+
+
+@query(_matches(UP_DOWN).replace(OLS, NON_EMPTY).replace(f"< {N}", f"< {DAYS * 24}") + f" {OUT} FROM m")
+def row_pattern_sql(spark: SparkSession, sf: str) -> DataFrame:
+    sums = buckets.regression_sums(src.from_events(spark, sf), HOUR, ORIGIN)
+    return _out(patterns.row_pattern(sums, UP_DOWN, DAYS * 24))
+
+
+DOUBTFUL = f"d AS (SELECT id, greatest(b - 2, 0) AS low, least(b + {LENGTH + 2}, {N}) AS high FROM (SELECT id, b, CASE WHEN hi > lo THEN {RELAXED} ELSE 0.0 END AS o FROM i WHERE hi >= 20 AND lo <= 80) WHERE o > 0.5)"
+
+
+@query(f"{_interval()}, {DOUBTFUL}, e AS (SELECT *, CASE WHEN low <= max(high) OVER (PARTITION BY id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM d), f AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT id, CAST(min(low) AS BIGINT) AS low, CAST(max(high) AS BIGINT) AS high FROM f GROUP BY id, k")
+def ambiguous_regions(spark: SparkSession, sf: str) -> DataFrame:
+    return patterns.ambiguous_regions(patterns.classified(_bounds(spark, sf), 20, 80, 0.5), LENGTH, 2, N)
+
+
+ALPHAS = (2, 4, 8)
+
+
+@query(" UNION ALL ".join(f"SELECT {a} AS factor, count(*) AS windows, round(avg(hi - lo), 4) AS mean_width, round(quantile_cont(hi - lo, 0.95), 4) AS p95_width FROM ({_interval(a)} SELECT * FROM i)" for a in ALPHAS))
+def bound_width_by_alpha(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for a in ALPHAS:
+        width = F.col("hi") - F.col("lo")
+        t = slopes.interval(buckets.aggregate(src.from_events(spark, sf), UNIT // a, ORIGIN), a, LENGTH).agg(F.lit(a).alias("factor"), F.count("*").alias("windows"), F.round(F.avg(width), 4).alias("mean_width"), F.round(F.percentile(width, 0.95), 4).alias("p95_width"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+WIDTHS = (7 * MINUTE, 13 * HOUR, 90 * MINUTE, DAY, 3)
+
+
+@query("SELECT * FROM (VALUES (CAST(420000 AS BIGINT), CAST(360000 AS BIGINT), CAST(600000 AS BIGINT)), (46800000, 43200000, 86400000), (5400000, 3600000, 7200000), (86400000, 86400000, 86400000), (3, 2, 4)) t(width, down, up)")
+def calendar_snap(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(w, snap_down(w), snap_up(w)) for w in WIDTHS], "width bigint, down bigint, up bigint")
+
+
+@query(f"WITH {S} SELECT id, min(ts_ms) // {UNIT} * {UNIT} AS low, (max(ts_ms) // {UNIT} + 1) * {UNIT} AS high FROM s GROUP BY id")
+def align_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    # One row for each id.
+    rows = [(r["id"], *align(r["first_ms"], r["last_ms"] + 1, UNIT)) for r in src.metadata(src.from_events(spark, sf)).collect()]
+    return spark.createDataFrame(rows, "id string, low bigint, high bigint")
+
+
+@query(f"{_matches(UP_DOWN)} {OUT} FROM m WHERE id = 'click'")
+def pattern_cached_equals_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact search over sums of which the cache held a part, at narrower buckets."""
+    cache = Cache(src.from_events(spark, sf), ORIGIN, kind="regression")
+    cache.aggregate("click", ORIGIN, ORIGIN + 12 * DAY, HOUR)
+    sums = cache.aggregate("click", ORIGIN, ORIGIN + DAYS * DAY, UNIT)
+    return _out(patterns.matches(buckets.dense(sums, N), UP_DOWN, N))
+
+
+@query("SELECT CAST(0.375 AS DOUBLE) AS hit_ratio")
+def cache_hit_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    cache = Cache(src.from_events(spark, sf), ORIGIN)
+    cache.aggregate("click", ORIGIN, ORIGIN + 12 * DAY, HOUR)
+    cache.aggregate("click", ORIGIN, ORIGIN + 20 * DAY, UNIT)
+    return spark.createDataFrame([(cache.hit_ratio,)], "hit_ratio double")
+
+
+@query("SELECT * FROM (VALUES (CAST(50 AS BIGINT), CAST(100 AS BIGINT)), (200, 230)) t(low, high)")
+def prefetch_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(prefetch(100, 200, 1.0, 0, 230), "low bigint, high bigint")
+
+
+@query()
+def match_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches that the bounds are sure of, held against the exact ones, within one bucket."""
+    band = patterns.parse(f"{LENGTH}:20:80")
+    truth = _found(spark, sf, band)
+    sure = patterns.classified(_bounds(spark, sf), 20, 80, 0.5).where("confident").select("id", "b", (F.col("b") + LENGTH).alias("to"))
+    return rounded(scoring.precision_recall(scoring.match_scores(truth, sure, 1)))
+
+
+@query(f"WITH c AS (SELECT event_type AS method, user_id % 5 AS run, value AS seconds FROM events), r AS (SELECT method, avg(s) AS total FROM (SELECT method, run, sum(seconds) AS s FROM c GROUP BY ALL) GROUP BY method) SELECT method, count(*) AS queries, round(max(total), 4) AS total, round(avg(seconds), 4) AS mean, round(quantile_cont(seconds, 0.95), 4) AS p95 FROM c JOIN r USING (method) GROUP BY method")
+def method_cost_summary(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return rounded(scoring.cost_summary(e.select(F.col("event_type").alias("method"), (F.col("user_id") % 5).alias("run"), F.col("value").alias("seconds"))), 4)
+
+
+@query(f"{_interval()}, c AS (SELECT CASE WHEN hi > lo THEN {RELAXED} ELSE 0.0 END AS o FROM i WHERE hi >= 20 AND lo <= 80), k AS (SELECT unnest(range(0, 11)) / 10.0 AS threshold) SELECT CAST(threshold AS DOUBLE) AS threshold, round(avg(CASE WHEN o <= threshold THEN 1.0 ELSE 0.0 END), 6) AS covered, round(avg(CASE WHEN o <= threshold THEN o END), 6) AS risk FROM k, c GROUP BY threshold")
+def risk_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(scoring.risk_coverage(patterns.classified(_bounds(spark, sf), 20, 80, 0.5)))
+
+
+@query(
+    f"WITH {S}, a AS (SELECT id, {b(UNIT)} AS b, avg(value) AS y FROM s GROUP BY ALL), t AS (SELECT id, b, avg(y) OVER (PARTITION BY id ORDER BY b ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS y FROM a), u AS (SELECT id, b, y, lead(y) OVER w AS y2, lead(b) OVER w AS b2 FROM t WINDOW w AS (PARTITION BY id ORDER BY b)), "
+    "r AS (SELECT *, y2 > y AS rises FROM u WHERE y2 <> y), g AS (SELECT *, CASE WHEN lag(rises) OVER w = rises THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY id ORDER BY b)), h AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY b) AS g FROM g), "
+    "i AS (SELECT id, min(b) AS b, max(b2) AS z, any_value(rises) AS rises FROM h GROUP BY id, g HAVING abs(sum(y2 - y)) >= 10), j AS (SELECT *, CASE WHEN lag(rises) OVER w = rises THEN 0 ELSE 1 END AS new FROM i WINDOW w AS (PARTITION BY id ORDER BY b)), k AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY b) AS g FROM j), "
+    "l AS (SELECT id, min(b) AS b, max(z) AS z, any_value(rises) AS rises FROM k GROUP BY id, g), p AS (SELECT id, b, rises, lead(z) OVER w AS two, lead(z, 3) OVER w AS four FROM l WINDOW w AS (PARTITION BY id ORDER BY b)) "
+    "SELECT id, b, CASE WHEN rises THEN coalesce(four, two) ELSE two END AS z, CASE WHEN rises AND four IS NOT NULL THEN 'double_peak' WHEN rises THEN 'triangle' ELSE 'v_shape' END AS shape FROM p WHERE two IS NOT NULL"
+)
+def shape_detector(spark: SparkSession, sf: str) -> DataFrame:
+    return shapes.shapes(buckets.aggregate(src.from_events(spark, sf), UNIT, ORIGIN), 10).withColumnRenamed("to", "z")
+
+
+LINES = ["1000,5000,a,b,0,1000,600,0.95,visual,zoomIn", "2000,9000,a,b,1|2,800,400,0.9,pattern,custom,4 HOURS,6:20:89", "broken,line"]
+
+
+@query("SELECT * FROM (VALUES (CAST(1000 AS BIGINT), CAST(5000 AS BIGINT), '0', 1000, 600, CAST(0.95 AS DOUBLE), 'visual', 'zoomIn', NULL), (2000, 9000, '1+2', 800, 400, 0.9, 'pattern', 'custom', '6:20:89')) t(low, high, measures, width, height, accuracy, kind, name, segments)")
+def workload_parse(spark: SparkSession, sf: str) -> DataFrame:
+    t = workload.parse(spark.createDataFrame([(x,) for x in LINES], "value string"))
+    return t.withColumn("measures", F.array_join("measures", "+"))
+
+
+@query(f"WITH {S} SELECT id, {b(UNIT)} AS b, {AGG} FROM s GROUP BY ALL")
+def stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    path = rollup.fresh(spark)
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    # The stream reads the folder of tables, and of it this one.
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rollup.follow(src.from_long(events, "ts", "event_type", "value"), UNIT, ORIGIN, path)
+    return rollup.read(spark, path).withColumn("sm", F.round("sm", 6))
+
+
+@query()
+def synthetic_series(spark: SparkSession, sf: str) -> DataFrame:
+    return src.metadata(workload.synthetic(spark, 10_000, ORIGIN, 1000))
