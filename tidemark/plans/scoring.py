@@ -51,7 +51,7 @@ def cost_summary(costs: DataFrame) -> DataFrame:
 
 
 def risk_coverage(classified: DataFrame, steps: int = 10) -> DataFrame:
-    """(threshold, covered, risk): share of matches with an overshoot of at most the threshold, and their mean overshoot."""
+    """(threshold, covered, risk): share of matches with an overshoot of at most the threshold, and their mean overshoot; null without any."""
     limits = [k / steps for k in range(steps + 1)]
     o = F.col("overshoot")
     each = [F.struct(F.lit(x).alias("threshold"), F.count_if(o <= x).alias("k"), F.sum(F.when(o <= x, o)).alias("s")) for x in limits]

@@ -452,7 +452,7 @@ def method_cost_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scoring.cost_summary(e.select(F.col("event_type").alias("method"), (F.col("user_id") % 5).alias("run"), F.col("value").alias("seconds"))), 4)
 
 
-@query(f"{_interval()}, c AS (SELECT CASE WHEN hi > lo THEN {RELAXED} ELSE 0.0 END AS o FROM i WHERE hi >= 20 AND lo <= 80), k AS (SELECT unnest(range(0, 11)) / 10.0 AS threshold) SELECT CAST(threshold AS DOUBLE) AS threshold, round(avg(CASE WHEN o <= threshold THEN 1.0 ELSE 0.0 END), 6) AS covered, round(avg(CASE WHEN o <= threshold THEN o END), 6) AS risk FROM k, c GROUP BY threshold")
+@query(f"{_interval()}, c AS (SELECT CASE WHEN hi > lo THEN {RELAXED} ELSE 0.0 END AS o FROM i WHERE hi >= 20 AND lo <= 80), k AS (SELECT unnest(range(0, 11)) / 10.0 AS threshold) SELECT CAST(threshold AS DOUBLE) AS threshold, round(avg(CASE WHEN o <= threshold THEN 1.0 WHEN o > threshold THEN 0.0 END), 6) AS covered, round(avg(CASE WHEN o <= threshold THEN o END), 6) AS risk FROM k LEFT JOIN c ON true GROUP BY threshold")
 def risk_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scoring.risk_coverage(patterns.classified(_bounds(spark, sf), 20, 80, 0.5)))
 
