@@ -18,8 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Bytes of text that one NumPy pass works on.
-PIECE_BYTES = 4 << 20
+#: Bytes of text that one NumPy pass works on. A worker needs some 40 times as much for the shingles of a text and their numbers.
+PIECE_BYTES = 1 << 20
 
 #: Fixed values of the words `[^\x20\x09-\x0D]+`: the six ASCII white-space bytes separate.
 WHITESPACE = np.zeros(256, bool)

@@ -33,7 +33,7 @@ LEAF = 512
 #: Tokens on either side of a join that a first window covers, and that have to agree.
 WINDOW, AGREE = 8, 2
 #: Distinct pre-tokens whose encoding a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 

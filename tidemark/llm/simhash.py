@@ -57,7 +57,7 @@ def fingerprints_of(column: pa.Array) -> np.ndarray:
     first = arrowtext.ragged(words.docs[:-1], made)
     last = first + np.repeat(np.minimum(per_row, SHINGLE) - 1, made)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(data[a:z], SEED) for a, z in zip(starts[first].tolist(), ends[last].tolist(), strict=True)], np.uint64)
+    hashes = np.fromiter((digest(data[a:z], SEED) for a, z in zip(starts[first].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(first))
     out = np.zeros(len(rows) - 1, np.uint64)
     bounds = np.concatenate(([0], np.cumsum(made)))
     ones = np.zeros((len(out), BITS), np.int64)

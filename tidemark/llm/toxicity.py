@@ -22,6 +22,8 @@ from tidemark.llm import arrowtext
 #: Labelled rows learned from, at most; entries of a lexicon, at most; letters of a stem.
 SAMPLE_ROWS, LEXICON, STEM = 20_000, 4096, (4, 8)
 THRESHOLD = 0.7
+#: Words whose symbols a task remembers.
+KNOWN_WORDS = 100_000
 
 #: Fixed words of the grammar.
 TARGETS = "you your yours he she they them him her du dich dir ihr euch sie tu te toi vous il elle ils usted ustedes ellos ella él".split()
@@ -154,7 +156,7 @@ def score(documents: DataFrame, model: tuple[float, dict[str, float]], text: str
                 raw, rows = arrowtext.buffers(part.column(1))
                 words = arrowtext.Words(raw, rows, _separators)
                 codes, distinct = words.distinct()
-                if len(known) > 500_000:
+                if len(known) > KNOWN_WORDS:
                     known.clear()
                 symbols = [known.get(w) or known.setdefault(w, symbol(w)) for w in distinct]
                 bad = np.array([s in (INSULT, THREAT) for s, _ in symbols], bool)
