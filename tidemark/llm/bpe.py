@@ -241,15 +241,24 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def put_away() -> None:
+    """Frees the codec at the end of a task: workers live on, and later stages need the memory. Loading it takes 0.3 s."""
+    codec.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids array<int>) of every row; null text gives no ids. Other columns are left out. path: a file that workers can read."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in arrowtext.pieces(batch, text):
-                ids, rows = codec(path).encode(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids))], [key, "ids"])
+        try:
+            for batch in batches:
+                for part in arrowtext.pieces(batch, text):
+                    ids, rows = codec(path).encode(part.column(1))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids))], [key, "ids"])
+        finally:
+            put_away()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
@@ -278,23 +287,27 @@ def round_trip_digests(df: DataFrame, path: str, text: str = "text", key: str =
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path)
-        decimal = pa.array([b"%d," % i for i in range(coder.size)], pa.large_binary())
-        for batch in batches:
-            for part in arrowtext.pieces(batch, text):
-                ids, rows = coder.encode(part.column(1))
-                said, at = arrowtext.buffers(decimal.take(pa.array(ids)))
-                at = at[rows]
-                back, ends = coder.decode(ids, rows)
-                said, back = memoryview(said), memoryview(np.ascontiguousarray(back))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(np.diff(rows), pa.int64()),
-                        pa.array([hashlib.sha256(said[a : max(a, z - 1)]).hexdigest() for a, z in zip(at[:-1], at[1:], strict=True)]),
-                        pa.array([hashlib.sha256(back[a:z]).hexdigest() for a, z in zip(ends[:-1], ends[1:], strict=True)]),
-                    ],
-                    [key, "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        try:
+            coder = codec(path)
+            decimal = pa.array([b"%d," % i for i in range(coder.size)], pa.large_binary())
+            for batch in batches:
+                for part in arrowtext.pieces(batch, text):
+                    ids, rows = coder.encode(part.column(1))
+                    said, at = arrowtext.buffers(decimal.take(pa.array(ids)))
+                    at = at[rows]
+                    back, ends = coder.decode(ids, rows)
+                    said, back = memoryview(said), memoryview(np.ascontiguousarray(back))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(0),
+                            pa.array(np.diff(rows), pa.int64()),
+                            pa.array([hashlib.sha256(said[a : max(a, z - 1)]).hexdigest() for a, z in zip(at[:-1], at[1:], strict=True)]),
+                            pa.array([hashlib.sha256(back[a:z]).hexdigest() for a, z in zip(ends[:-1], ends[1:], strict=True)]),
+                        ],
+                        [key, "n_tokens", "ids_sha256", "decoded_sha256"],
+                    )
+        finally:
+            coder = decimal = None
+            put_away()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
