@@ -10,6 +10,7 @@ hands over at once (a single text is never cut).
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -104,19 +105,26 @@ def _polynomial(seed: int) -> tuple[np.ndarray, np.ndarray]:
     return draw.integers(0, 1 << 64, 256, np.uint64), draw.integers(0, 1 << 63, SHORT_WORD, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Bytes of words that polynomial() works on at a time; it needs some 30 times as much.
+HASHED_BYTES = 1 << 20
+
+
 def polynomial(words: Words, seed: int) -> np.ndarray:
     """A 64-bit hash of every word: random values of its bytes, each times a random odd factor of its place. Long words get XXH3."""
     values, factors = _polynomial(seed)
     lengths = np.diff(words.offsets)
-    if not len(lengths):
-        return np.zeros(0, np.uint64)
-    place = np.arange(len(words.data), dtype=np.int32) - np.repeat(words.offsets[:-1].astype(np.int32), lengths)
-    long = np.flatnonzero(lengths > SHORT_WORD)
-    if len(long):
+    out = lengths.astype(np.uint64) * factors[0]
+    low = 0
+    while low < len(lengths):
+        high = max(low + 1, int(np.searchsorted(words.offsets, words.offsets[low] + HASHED_BYTES, "right")) - 1)
+        begins, sizes = words.offsets[low:high], lengths[low:high]
+        base = begins[0]
+        data = words.data[base : words.offsets[high]]
+        place = np.arange(len(data), dtype=np.int32) - np.repeat((begins - base).astype(np.int32), sizes)
         np.minimum(place, SHORT_WORD - 1, out=place)
-    out = np.add.reduceat(values[words.data] * factors[place], words.offsets[:-1])
-    out += lengths.astype(np.uint64) * factors[0]
-    for i in long.tolist():
+        out[low:high] += np.add.reduceat(values[data] * factors[place], begins - base)
+        low = high
+    for i in np.flatnonzero(lengths > SHORT_WORD).tolist():
         out[i] = xxhash.xxh3_64_intdigest(words.data[words.offsets[i] : words.offsets[i + 1]].tobytes(), seed)
     return out
 
@@ -142,7 +150,44 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
+def joined(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets by row) of the words marked in `keep`, joined by one blank within a row."""
+    lengths = np.diff(words.offsets)
+    kept = words.data[np.repeat(keep, lengths)]
+    ends = np.cumsum(per_row_sum(keep, words.docs))  # in kept words
+    sizes = lengths[keep] + 1
+    sizes[np.unique(ends[ends > 0]) - 1] -= 1  # no blank after the last word of a row
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    blanks = at[1:][sizes > lengths[keep]] - 1
+    letter = np.ones(int(at[-1]), bool)
+    letter[blanks] = False
+    data = np.full(len(letter), 32, np.uint8)
+    data[letter] = kept
+    return data, at[np.concatenate(([0], ends))]
+
+
 def per_row_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values[bounds[i]:bounds[i+1]], empty ranges included."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: workers live on, and what they hold is missing elsewhere on the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """run, a function from batches to batches, that gives memory back once it has ended and its arrays are gone."""
+
+    @functools.wraps(run)
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return outer

@@ -244,7 +244,7 @@ def codec(path: str) -> Codec:
 def put_away() -> None:
     """Frees the codec at the end of a task: workers live on, and later stages need the memory. Loading it takes 0.3 s."""
     codec.cache_clear()
-    pa.default_memory_pool().release_unused()
+    arrowtext.give_back()
 
 
 def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -77,6 +77,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     """(key, fp bigint) of every row."""
     kind = df.schema[key].dataType.simpleString()
 
+    @arrowtext.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in arrowtext.pieces(batch, text):

@@ -63,6 +63,7 @@ class Windows:
     """Words and windows of a pack: `first`, `second` are hashes of the windows that lie in one text, `at` their first words."""
 
     def __init__(self, column: pa.Array, width: int):
+        arrowtext.give_back()  # what the pack before left
         raw, rows = arrowtext.buffers(column)
         self.words = arrowtext.Words(raw, rows)
         inside = np.zeros(len(self.words), bool)
@@ -238,17 +239,7 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, text: str = "text", key: s
         gone = np.cumsum(change[:n]) > 0
         docs = w.words.docs
         removed = arrowtext.per_row_sum(gone, docs)
-        # Words that stay, each followed by a blank, the last of a text by none.
-        left = np.flatnonzero(~gone)
-        lengths = np.diff(w.words.offsets)[left]
-        count = np.diff(docs) - removed
-        ends = np.cumsum(count)
-        blank = np.ones(len(left), np.int64)
-        blank[ends[count > 0] - 1] = 0
-        sizes = lengths + blank
-        data = np.full(int(sizes.sum()), 32, np.uint8)
-        data[arrowtext.ragged(np.cumsum(sizes) - sizes, lengths)] = w.words.data[arrowtext.ragged(w.words.offsets[:-1][left], lengths)]
-        bounds = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], ends))]
+        data, bounds = arrowtext.joined(w.words, ~gone)
         kept = arrowtext.binary(data, bounds).cast(pa.string())
         return pa.table([rows.column("key"), rows.column("carried"), pa.array(np.diff(docs)), pa.array(removed), kept], ["key", "carried", "n_words", "n_removed", "kept"])
 

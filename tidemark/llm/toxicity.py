@@ -149,6 +149,7 @@ def score(documents: DataFrame, model: tuple[float, dict[str, float]], text: str
             best = max(best, lexicon.get(w[:n] + "*", 0.0))
         return (INSULT, best) if best else (OTHER, 0.0)
 
+    @arrowtext.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[str, float]] = {}
         for batch in batches:
