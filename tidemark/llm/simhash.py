@@ -114,7 +114,8 @@ def links(prints: DataFrame) -> DataFrame:
                 block = sum(1 << i for i in open_bits[k :: RADIUS + 1])
                 if block:
                     wider.append((m, signed((m | block) & (2**64 - 1))))
-        refine = spark.createDataFrame(wider, "mask bigint, finer bigint")
+        # A local relation: rows handed over from Python would start further Python processes on every executor.
+        refine = spark.sql("SELECT * FROM VALUES " + ", ".join(f"(bigint('{m}'), bigint('{x}'))" for m, x in wider) + " AS t(mask, finer)")
         level = hot.join(F.broadcast(refine), "mask").select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("part")).distinct()
 
 
