@@ -29,7 +29,9 @@ from tidemark.llm import arrowtext
 
 WIDTH = 35
 #: Bytes of text in a pack, entries in a block, sketch cells for each expected window.
-PACK_BYTES, BLOCK_ENTRIES, CELLS_EACH = 8 << 20, 2 << 20, 64
+PACK_BYTES, BLOCK_ENTRIES, CELLS_EACH = 4 << 20, 2 << 20, 64
+#: Tasks of a shuffle of packs, unless the session asks for more; beyond that tasks hold several packs.
+MOST_TASKS = 20_000
 #: Bytes of text for each word, to foresee how many windows there are; a wrong guess changes speed only.
 WORD_BYTES = 5
 
@@ -141,7 +143,8 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, text: str = "text", key: s
     down, low = np.uint64(64 - cell_bits), np.uint64((1 << inner) - 1)
     kind = df.schema[key].dataType
     carried = F.struct(*carry) if carry else F.struct(F.lit(None).cast("int").alias("none"))
-    docs = df.select(F.pmod(F.xxhash64(key, text), F.lit(packs)).alias("pack"), F.col(key).alias("key"), carried.alias("carried"), F.col(text).alias("text"))
+    tasks = min(packs, max(MOST_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    docs = df.select(F.pmod(F.xxhash64(key, text), F.lit(packs)).alias("pack"), F.col(key).alias("key"), carried.alias("carried"), F.col(text).alias("text")).repartition(tasks, "pack")  # so few packs share a task, which sorts its texts
 
     def cells_of(first: np.ndarray) -> np.ndarray:
         return first >> down
