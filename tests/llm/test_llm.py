@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
-from tidemark.llm import arrowtext, bpe, chat, decontam, orcstore, queries, ring, simhash, spotsigs, substring, tokencount, toxicity, workspace
+from tidemark.llm import arrowtext, bpe, chat, decontam, nearcopies, orcstore, queries, ring, simhash, spotsigs, substring, tokencount, toxicity, workspace
 
 BPE = P.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, text string, n_tokens string, kept int"
@@ -174,6 +174,35 @@ def test_pipeline_runs(spark):
     assert 0 < len(left) <= docs.count() and not toxic & {r["doc_id"] for r in left}
 
 
+def shingle_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def test_near_duplicate_stage_drops_planted_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(500)}" for _ in range(200)] for _ in range(6)]
+    texts = []
+    for i in range(90):
+        w = list(base[i % 6])
+        for _ in range(rng.randint(0, 8)):  # 8 spaced edits leave about 0.7 of the shingles
+            w[rng.randrange(200)] = f"x{rng.randrange(9999)}"
+        texts.append(" ".join(w))
+    texts += [None, "", "one two", "ONE  two", "one three"]
+    sets = [shingle_set(t) for t in texts]
+    near = [[j for j, b in enumerate(sets) if a == b or len(a & b) >= 0.8 * len(a | b)] for a in sets]
+    names, before = list(range(len(texts))), None
+    while names != before:
+        names, before = [min(names[j] for j in near[i]) for i in range(len(names))], names
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    fps = simhash.fingerprints_of(pa.array(texts)).tolist()
+    assert any((fps[i] ^ fps[j]).bit_count() > 3 for i in range(90) for j in near[i])
+    assert left == sorted(set(names)) and corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
+
+
 def test_long_words_hash_apart():
     w = arrowtext.Words(*arrowtext.buffers(pa.array(["a" * 100 + " " + "a" * 101 + " " + "a" * 100])))
     h = arrowtext.polynomial(w, 0)
