@@ -50,6 +50,29 @@ def test_token_counts_equal_greedy(odd, none):
     assert got.count() == len(ODD) and got.where("doc_id = 7").first()["n_words"] == 30_000 and tokencount.count(none, P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_token_counts_of_words_without_a_marked_piece(spark):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    longest = max(map(len, pieces))
+
+    def greedy(word):
+        at, n, word = 0, 0, "▁" + word
+        while at < len(word):
+            fit = next((k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in pieces), 0)
+            n, at = n + (1 if fit else len(word[at].encode())), at + (fit or 1)
+        return n
+
+    rng = random.Random(9)
+    words = ["ñandú", "año", "ção", "ßen", "straße", "Übermäßig", "être", "中文没有空格的句子", "日本語のテキスト", "😀😀", "a😀b", "ᚠᚢ", "▁x", "the", "internationalization"]
+    words += ["".join(rng.choice(["a", "ñ", "th", "中", "ß", "😀", "ing", "1", "é", "▁", "龘"]) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in tokencount.count(df, path).collect()}
+    assert [got[i]["n_tokens"] for i in range(len(words))] == list(map(greedy, words)) and not any(r["n_unknown"] for r in got.values())
+
+
 def test_covering_masks_miss_nothing():
     ms, rng = simhash.masks(), random.Random(2)
     for _ in range(2000):

@@ -7,7 +7,10 @@ many they are is kept with each node, so no piece is ever built and each
 character is looked at once.
 
 Definitions: words are `[^\\x20\\x09-\\x0D]+`, unchanged.  The first piece of a
-word is one of `initial`, the others are of `inner`.  A word that can't be cut
+word is one of `initial`, the others are of `inner`.  With a sentencepiece
+vocabulary a word begins with the blank mark, which can be a piece of its own;
+where no piece fits and the vocabulary has byte pieces, the next character is
+as many tokens as it has bytes in UTF-8.  A word that can't be cut
 into pieces is a single unknown token.  Null and empty texts have no words.
 """
 
@@ -25,12 +28,15 @@ from tidemark.llm import arrowtext
 
 #: Distinct words whose count a worker remembers.
 REMEMBERED = 500_000
+#: What a sentencepiece vocabulary writes for the blank before a word.
+MARK = "▁"
 
 
 class Matcher:
-    """The automaton for one vocabulary."""
+    """The automaton for one vocabulary; with `by_bytes`, characters that no piece fits count as their bytes."""
 
-    def __init__(self, initial: Iterable[str], inner: Iterable[str]):
+    def __init__(self, initial: Iterable[str], inner: Iterable[str], by_bytes: bool = False):
+        self.by_bytes = by_bytes
         # Node 0 is where a word begins, node 1 where a piece inside of it does.
         self.child: list[dict[str, int]] = [{}, {}]
         ends: list[bool] = [False, False]
@@ -46,6 +52,17 @@ class Matcher:
                         ends.append(False)
                     at = nxt
                 ends[at] = ends[at] or bool(piece)
+        weight = [int(x) for x in ends]
+        if by_bytes:
+            for c in sorted({c for node in self.child for c in node}):
+                for root in (0, 1):
+                    at = self.child[root].get(c)
+                    if at is None and root:  # no piece begins with it
+                        at = self.child[1][c] = len(self.child)
+                        self.child.append({})
+                        weight.append(0)
+                    if at is not None and not weight[at]:
+                        weight[at] = len(c.encode())
         n = len(self.child)
         #: Where matching goes on once the pieces before are popped (-1: nowhere), and how many are popped.
         self.link, self.popped = [-1] * n, [0] * n
@@ -53,8 +70,8 @@ class Matcher:
         while todo:
             v = todo.popleft()
             for c, u in self.child[v].items():
-                if ends[u]:
-                    self.link[u], self.popped[u] = 1, 1
+                if weight[u]:
+                    self.link[u], self.popped[u] = 1, weight[u]
                 else:
                     z, k = self.link[v], self.popped[v]
                     while z != -1 and c not in self.child[z]:
@@ -71,7 +88,11 @@ class Matcher:
         for c in word:
             while (nxt := child[at].get(c)) is None:
                 if link[at] == -1:
-                    return -1
+                    if not self.by_bytes:
+                        return -1
+                    n += len(c.encode())
+                    nxt = 1
+                    break
                 n += popped[at]
                 at = link[at]
             at = nxt
@@ -85,13 +106,13 @@ class Matcher:
 
 @functools.cache
 def sentencepiece_matcher(path: str) -> tuple[Matcher, dict[bytes, int]]:
-    """Matcher over the ordinary pieces of a sentencepiece model: those that begin with its blank mark begin words."""
+    """Matcher for words after the blank mark, over all ordinary pieces of a sentencepiece model."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    mark = "▁"
-    return Matcher([p[1:] for p in pieces if p[0] == mark and len(p) > 1], [p for p in pieces if mark not in p]), {}
+    ids = range(model.get_piece_size())
+    pieces = [model.id_to_piece(i) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    return Matcher([p for p in pieces if p[0] == MARK], pieces, sum(map(model.is_byte, ids)) == 256), {}
 
 
 def count(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -114,7 +135,7 @@ def count(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") ->
                 for i, w in enumerate(distinct):
                     n = known.get(w)
                     if n is None:
-                        n = known[w] = matcher.count(w.decode())
+                        n = known[w] = matcher.count(MARK + w.decode())
                     each[i] = n
                 got = each[codes]
                 yield pa.RecordBatch.from_arrays(
