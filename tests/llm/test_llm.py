@@ -226,6 +226,16 @@ def test_near_duplicate_stage_drops_planted_near_copies(spark):
     assert left == sorted(set(names)) and corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
 
 
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (3, c), (3, a + " and more"), (4, "alone"), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = Counter((r["doc_id"], r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert left == Counter([(1, a), (None, b), (3, c), (4, "alone"), (None, "")])
+
+
 def test_long_words_hash_apart():
     w = arrowtext.Words(*arrowtext.buffers(pa.array(["a" * 100 + " " + "a" * 101 + " " + "a" * 100])))
     h = arrowtext.polynomial(w, 0)
