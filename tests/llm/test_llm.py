@@ -94,11 +94,25 @@ def test_simhash_against_brute_force(spark, odd, none):
     assert simhash.near_duplicates(odd).count() == len(ODD) and simhash.near_duplicates(none).count() == 0
 
 
-def test_hot_buckets_lose_no_link(spark):
-    fps = [x << 3 for x in range(300)]
-    df = spark.createDataFrame([(x,) for x in fps], "fp bigint")
-    want = sum((a ^ b).bit_count() <= 3 for i, a in enumerate(fps) for b in fps[:i])
-    assert simhash.links(df).count() == want
+def reachable(fps):
+    """The smallest fingerprint that each one reaches, by brute force."""
+    near = {a: [b for b in fps if (a ^ b).bit_count() <= 3] for a in fps}
+    names, before = {a: a for a in fps}, None
+    while names != before:
+        before, names = names, {a: min(names[b] for b in near[a]) for a in fps}
+    return names
+
+
+@pytest.mark.parametrize("kind", ["dense", "around one", "around one and far away"])
+def test_groups_connect_what_links_connect(spark, kind):
+    rng = random.Random(5)
+    flipped = lambda low, high: sum(1 << b for b in rng.sample(range(63), rng.randint(low, high)))
+    fps = {"dense": lambda: [x << 3 for x in range(300)], "around one": lambda: [flipped(0, 6) for _ in range(600)], "around one and far away": lambda: [0x2BCDEF0123456789 ^ flipped(4, 9) for _ in range(500)] + [rng.getrandbits(63) for _ in range(100)]}[kind]()
+    fps = sorted(set(fps))
+    want = reachable(fps)
+    got = {r["node"]: r["component"] for r in simhash.groups(spark.createDataFrame([(x,) for x in fps], "fp bigint")).collect()}
+    linked = set(want.values())
+    assert all(got.get(x, x) == want[x] for x in fps) and all(x in want for x in got) and linked
 
 
 def test_spotsigs(spark, odd, none):

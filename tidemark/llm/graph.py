@@ -14,25 +14,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates two steps that keep components and shrink distances: every node
     links its larger neighbours to its smallest one, then its smaller ones.
     Each round groups by node with partial aggregation of the minimum and
-    writes the edges to the shared folder; nothing is gathered per component.
+    writes the edges to the shared folder; nothing is gathered per component,
+    and the edges of a hub stay where they are (workspace.lookup).
     Null ends and loops are ignored; an empty table gives an empty one.
     """
     pairs = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
     pairs = workspace.written(pairs, "edges")
     before = None
     for _ in range(rounds):
-        sizes = pairs.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if sizes["n"] == 0 or before == (sizes["n"], sizes["h"]):
+        state = pairs.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("decimal(20,0)")).alias("h")).first()
+        if state["n"] == 0 or before == (state["n"], state["h"]):
             break
-        before = (sizes["n"], sizes["h"])
+        before = (state["n"], state["h"])
+        n = state["n"]
         # Large star: of each node with all its neighbours, the larger ones go to the smallest.
         both = pairs.unionByName(pairs.selectExpr("b AS a", "a AS b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
-        large = both.where("b > a").join(least, "a").selectExpr("m AS a", "b").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = workspace.lookup(pairs, least, ["a"], "n", n).selectExpr("m AS a", "b").where("a <> b").distinct()
+        large = workspace.written(large, "edges")
         # Small star: of each node with its smaller neighbours, these and itself go to the smallest.
-        small_least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(small_least, "b").selectExpr("m AS a", "a AS b").where("a <> b").unionByName(small_least.selectExpr("m AS a", "b")).distinct()
-        pairs = workspace.written(small, "edges")
+        least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = workspace.lookup(large, least, ["b"], "n", n).selectExpr("m AS a", "a AS b").where("a <> b")
+        pairs = workspace.written(small.unionByName(least.selectExpr("m AS a", "b")).distinct(), "edges")
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     found = pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))

@@ -7,9 +7,9 @@ whose vector has an odd product with v.  Positions of 3 differing bits span at
 most 3 of 4 dimensions, so some mask leaves all of them out: every pair within
 the radius agrees under at least one mask.
 
-A bucket that holds many distinct fingerprints isn't compared all to all: the
-positions outside its mask are cut into 4 blocks, one of which must agree too,
-and so on until the open bits or the bucket are few.
+Components are what is asked for, so a bucket isn't compared all to all: its
+fingerprints are linked to a few centres, and only what these links leave in
+different components is looked at further (groups()).
 """
 
 from __future__ import annotations
@@ -19,14 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrowtext, graph, workspace
 
 BITS, RADIUS, SEED, SHINGLE = 64, 3, 42, 3
-#: Distinct fingerprints of a bucket up to which they are compared all to all.
+#: Fingerprints of a bucket outside its largest component, up to which they are compared with all of it.
 SMALL = 24
+#: Bits that are flipped before the smallest fingerprint of a bucket is taken as a centre. Others change the work, not the result.
+CENTRES = (0, 0x5A3C_96E1_0F87_D24B)
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -86,37 +88,62 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp bigint")
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of different fingerprints within the radius, from a table with distinct `fp`.
+def finer(mask: Column) -> Column:
+    """The masks that add to `mask` one of RADIUS + 1 blocks of its open bits (those that hold any)."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+    open_bits = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: mask.bitwiseAND(bit(i)) == 0)
+    block = lambda k: F.aggregate(F.filter(open_bits, lambda _, at: at % (RADIUS + 1) == k), mask, lambda m, i: m.bitwiseOR(bit(i)))
+    return F.filter(F.array(*map(block, range(RADIUS + 1))), lambda m: m != mask)
 
-    Every pair is found: covering masks first, and in buckets beyond SMALL the
-    pigeonhole of 4 blocks of the open bits, as often as need be.  A bucket
-    whose open bits are all used up holds a single fingerprint, so it ends.
+
+def groups(prints: DataFrame) -> DataFrame:
+    """(node, component) of each fingerprint that is linked to another one, from a table with distinct `fp`: the smallest one it is reachable from.
+
+    Every link counts, but those inside a group that is known to be connected
+    aren't looked for.  Each bucket first links its fingerprints to CENTRES of
+    them, where they are near enough.  A bucket whose fingerprints then are in
+    one component is done.  If all but SMALL of them are in one, these few are
+    compared with all.  Other buckets are cut by the pigeonhole: the open bits
+    make RADIUS + 1 blocks, one of which must agree too.  Open bits get fewer
+    each time, and without any a bucket holds one fingerprint, so this ends.
     """
-    spark = prints.sparkSession
-    level = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for m in masks()))).alias("x")).select("fp", "x.mask", "x.part")
-    found = None
+    near = lambda a, b: (F.col(a) != F.col(b)) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS)
+    edge = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    first = F.array(*(F.struct(F.lit(signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for m in masks()))
+    level, parts = prints.select("fp", F.inline(first)), None
     while True:
         level = workspace.written(level, "buckets")
-        sizes = level.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1")
-        cold = level.join(sizes.where(F.col("n") <= SMALL).select("mask", "part"), ["mask", "part"])
-        other = cold.select("mask", "part", F.col("fp").alias("b"))
-        pairs = cold.withColumnRenamed("fp", "a").join(other, ["mask", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b")
-        found = pairs if found is None else found.unionByName(pairs)
-        hot = level.join(sizes.where(F.col("n") > SMALL).select("mask", "part"), ["mask", "part"])
-        used = [r["mask"] for r in hot.select("mask").distinct().collect()]  # at most 15 * 4^depth masks, whatever the input
-        if not used:
-            return found.distinct()
-        wider = []
-        for m in used:
-            open_bits = [i for i in range(BITS) if not (m >> i) & 1]
-            for k in range(RADIUS + 1):
-                block = sum(1 << i for i in open_bits[k :: RADIUS + 1])
-                if block:
-                    wider.append((m, signed((m | block) & (2**64 - 1))))
-        # A local relation: rows handed over from Python would start further Python processes on every executor.
-        refine = spark.sql("SELECT * FROM VALUES " + ", ".join(f"(bigint('{m}'), bigint('{x}'))" for m, x in wider) + " AS t(mask, finer)")
-        level = hot.join(F.broadcast(refine), "mask").select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("part")).distinct()
+        # A centre is the smallest fingerprint after some bits are flipped.
+        centres = [F.min(F.col("fp").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)).alias(f"c{i}") for i, c in enumerate(CENTRES)]
+        crowded = workspace.written(level.groupBy("mask", "part").agg(F.count("*").alias("n"), *centres).where("n > 1"), "crowded")
+        met = workspace.written(workspace.lookup(level, crowded, ["mask", "part"], "n", level.count()), "met")
+        if met.isEmpty():
+            break
+        stars = met.select("fp", F.explode(F.array(*(f"c{i}" for i in range(len(CENTRES))))).alias("c")).where(near("fp", "c")).select(*edge("fp", "c")).distinct()
+        parts = workspace.written(graph.components(_and(stars, parts)), "parts")
+        state = met.select("fp", "mask", "part", "n").join(parts, met["fp"] == parts["node"], "left").select("fp", "mask", "part", "n", F.coalesce("component", "fp").alias("component"))
+        state = workspace.written(state, "state")
+        each = state.groupBy("mask", "part", "component").agg(F.count("*").alias("k"))
+        unsettled = each.groupBy("mask", "part").agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("most")).where("most.k < n")
+        rest = F.col("n") - F.col("most.k")
+        unsettled = unsettled.select("mask", "part", "n", F.col("most.component").alias("most"), F.when(rest > SMALL, finer(F.col("mask"))).alias("finer"))
+        unsettled = workspace.written(unsettled, "unsettled")
+        rows = workspace.lookup(state.drop("n"), unsettled, ["mask", "part"], "n", state.count())
+        rows = workspace.written(rows, "unsettled-rows")
+        # At most SMALL fingerprints of a bucket are gathered.
+        few = rows.where("finer IS NULL AND component <> most").groupBy("mask", "part").agg(F.max("n").alias("n"), F.collect_list(F.struct(F.col("fp").alias("other"), F.col("component").alias("apart"))).alias("few"))
+        few = workspace.written(few, "few")
+        pairs = workspace.lookup(rows.where("finer IS NULL").select("fp", "component", "mask", "part"), few, ["mask", "part"], "n", rows.count())
+        pairs = pairs.select("fp", "component", F.inline("few")).where((F.col("component") != F.col("apart")) & near("fp", "other")).select(*edge("fp", "other")).distinct()
+        pairs = workspace.written(pairs, "pairs")
+        if not pairs.isEmpty():
+            parts = workspace.written(graph.components(_and(pairs, parts)), "parts")
+        level = rows.where("finer IS NOT NULL").select("fp", F.explode("finer").alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part")).distinct()
+    return parts if parts is not None else prints.sparkSession.createDataFrame([], "node bigint, component bigint")
+
+
+def _and(edges: DataFrame, parts: DataFrame | None) -> DataFrame:
+    return edges if parts is None else edges.unionByName(parts.selectExpr("component AS a", "node AS b").where("a <> b"))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -128,13 +155,11 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     null keys never are a component's name unless it has no other.
     """
     prints = workspace.written(fingerprints(df, text, key), "fingerprints")
-    classes = workspace.written(prints.groupBy("fp").agg(F.min(key).alias("low")), "classes")
-    parts = graph.components(links(classes))
-    lows = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
-    lows = workspace.written(lows, "parts")
-    names = lows.groupBy("part").agg(F.min("low").alias("component_id"))
-    merged = lows.join(names, "part").where("part IS NOT NULL").select("fp", "component_id", "low")
-    changed = merged.where(~F.col("component_id").eqNullSafe(F.col("low"))).select("fp", "component_id")
-    # A class whose component has its own smallest key needs no look-up: rows of it carry the class minimum.
-    out = prints.join(classes, "fp").join(changed, "fp", "left")
-    return out.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "low").alias("component_id"))
+    classes = workspace.written(prints.groupBy("fp").agg(F.min(key).alias("low"), F.count("*").alias("n")), "classes")
+    parts = groups(classes.select("fp"))
+    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("part"))
+    named = workspace.written(named, "parts")
+    lows = workspace.written(named.groupBy("part").agg(F.min("low").alias("component_id"), F.count("*").alias("classes")), "lows")
+    table = workspace.lookup(named, lows, ["part"], "classes", named.count()).select("fp", "n", "component_id")
+    out = workspace.lookup(prints, workspace.written(table, "names"), ["fp"], "n", prints.count())
+    return out.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
