@@ -14,11 +14,12 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrowtext
+from tidemark.llm import arrowtext, workspace
 
 CHAIN = 3
 
@@ -132,38 +133,75 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     return links, members
 
 
+#: Bytes of text in a range of keys, on average.
+RANGE_BYTES = 32 << 20
+
+
+def places(df: DataFrame) -> DataFrame:
+    """(d, h, copies, size) of every distinct place in the order of rows (d, h, t): no texts, and a place with many rows counts as one."""
+    return df.select("d", "h", F.octet_length("t").alias("size")).groupBy("d", "h").agg(F.count("*").alias("copies"), F.max("size").alias("size"))
+
+
+def ranges(found: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first place (d, h) of each of the ranges that places() are cut into, ascending; one entry for each range is all that the driver gets."""
+    size = found.agg(F.sum("size")).first()[0] or 0
+    n = max(least, -(-size // RANGE_BYTES))
+    cut = found.select("d", "h").repartitionByRange(n, "d", "h").withColumn("part", F.spark_partition_id())
+    firsts = cut.groupBy("part").agg(F.min(F.struct("d", "h")).alias("first")).select("first.d", "first.h").orderBy("d", "h").toPandas()
+    return firsts["d"].to_numpy(np.int64), firsts["h"].to_numpy(np.int64)
+
+
+def range_of(d: np.ndarray, h: np.ndarray, first_d: np.ndarray, first_h: np.ndarray) -> np.ndarray:
+    """The number of the last range that begins at or before each place, by binary search; -1 before all."""
+    low, high = np.searchsorted(first_d, d, "left"), np.searchsorted(first_d, d, "right")
+    out = low - 1
+    for i in np.flatnonzero(high > low).tolist():  # ranges begin with this key: the hash decides
+        out[i] = low[i] + np.searchsorted(first_h[low[i] : high[i]], h[i], "right") - 1
+    return out
+
+
 def probe(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The next document is the one with the next smaller key, after the smallest
     the largest; rows with equal keys follow each other by a hash of their
-    text, null keys come last.  Rows are dealt into ranges of keys; a range
-    also gets the first row of the next one.
+    text, null keys come last.  Rows that are equal in key and text have one
+    place in this order, so they have the same next document and equal results;
+    such places with very many rows are worked on once.  Rows are dealt into
+    ranges of places; a range also gets the first row of the next one.
     """
     spark = df.sparkSession
-    low = -(1 << 63)
-    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({int(x) for x in df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.002)}) if ranges > 1 else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col("o"))) if cuts else F.lit(0)
-    rows = rows.withColumn("own", bucket)
-    tops = {r["own"]: r["top"] for r in rows.groupBy("own").agg(F.max("o").alias("top")).collect()}  # one number per range
-    order = sorted(tops, reverse=True)
-    guests = [(tops[order[(i + 1) % len(order)]], b) for i, b in enumerate(order)]
-    also = F.lit(None).cast("int")
-    for top, b in guests:
-        also = F.when(F.col("o") == top, F.lit(b)).otherwise(also)
-    places = F.array(F.struct(F.col("own").alias("to"), F.lit(0).alias("guest")), F.struct(also.alias("to"), F.lit(1).alias("guest")))
-    dealt = rows.select("k", "o", "t", F.inline(places)).where("to IS NOT NULL").withColumn("h", F.xxhash64("t"))
-    dealt = dealt.repartition(ranges, "to").sortWithinPartitions("to", "guest", F.col("o").desc(), "h").select("k", "to", "guest", "t")
+    lowest = -(1 << 63)
+    order = F.bitwise_not(F.coalesce(F.col(key).cast("long"), F.lit(lowest)))  # ascending where keys descend
+    rows = df.select(F.col(key).alias("k"), order.alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    found = workspace.written(places(rows), "places")
+    first_d, first_h = ranges(found, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    count = len(first_d)
+    # Heavy places are few, as each has its share of all rows.
+    limit = max(workspace.LEAST, int((found.agg(F.sum("copies")).first()[0] or 0) * workspace.SHARE))
+    heavy = F.broadcast(found.where(F.col("copies") > limit).select("d", "h", "copies"))
+    once = rows.join(heavy, ["d", "h"]).groupBy("d", "h").agg(F.first("k").alias("k"), F.first("t").alias("t"), F.first("copies").alias("copies"))
+    rows = rows.join(heavy, ["d", "h"], "left_anti").select("k", "d", "h", "t", F.lit(1).cast("long").alias("copies")).unionByName(once)
+
+    @F.pandas_udf("struct<own int, also int>")
+    def dealt_to(d: pd.Series, h: pd.Series) -> pd.DataFrame:
+        d, h = d.to_numpy(np.int64), h.to_numpy(np.int64)
+        own = np.maximum(range_of(d, h, first_d, first_h), 0)
+        begins = (first_d[own] == d) & (first_h[own] == h) if count else np.zeros(len(d), bool)
+        return pd.DataFrame({"own": own.astype(np.int32), "also": np.where(begins, (own - 1) % max(count, 1), -1).astype(np.int32)})
+
+    dealt = rows.withColumn("place", dealt_to("d", "h"))
+    both = F.array(F.struct(F.col("place.own").alias("to"), F.lit(0).alias("guest")), F.struct(F.col("place.also").alias("to"), F.lit(1).alias("guest")))
+    dealt = dealt.select("k", "d", "h", "t", "copies", F.inline(both)).where("to >= 0")
+    dealt = dealt.repartition(max(count, 1), "to").sortWithinPartitions("to", "guest", "d", "h").select("k", "d", "h", "to", "guest", "copies", "t")
     kind = df.schema[key].dataType
+    names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
+    @arrowtext.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # rows of one range, in order
-
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            """All but the last of rows, each with the row after it."""
-            texts = [t for _, t in rows]
+        def made(held: list[list], keys: pa.DataType) -> Iterator[pa.RecordBatch]:
+            """The rows of all places but the last, each with the place after it."""
+            texts = [t for _, t, _, _ in held]
             own = [(t, len(t) // 3) for t in texts[:-1]]
             edited = [t[: len(t) - k] + after[:k] for (t, k), after in zip(own, texts[1:], strict=True)]
             n = len(own)
@@ -171,9 +209,9 @@ def probe(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
             cut = per_row(mine, n + 1)
             following = mine[cut[1] :] - (np.uint64(1) << np.uint64(32))
             mine = mine[: cut[n]]
-            return pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([k for k, _ in rows[:-1]], keys),
+                    pa.array([k for k, _, _, _ in held[:-1]], keys),
                     pa.array([len(t) for t in texts[:-1]], pa.int64()),
                     pa.array([sha256(t.encode()).hexdigest() for t in edited], pa.string()),
                     pa.array(hex_sets(mine, n), pa.string()),
@@ -181,24 +219,33 @@ def probe(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                     pa.array(likeness(mine, theirs, n)),
                     pa.array(likeness(mine, following, n)),
                 ],
-                [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                names,
             )
+            copies = np.array([c for _, _, c, _ in held[:-1]], np.int64)
+            yield out
+            for i in np.flatnonzero(copies > 1).tolist():  # the other rows of a place, a thousand at a time
+                for low in range(1, int(copies[i]), 1000):
+                    yield out.take(pa.array([i] * min(1000, int(copies[i]) - low)))
 
+        held: list[list] = []  # [key, text, copies, place] of one range, in order
         at, closed, size = None, False, 0
         for batch in batches:
             keys = batch.schema.field(0).type
-            for k, to, guest, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for k, d, h, to, guest, copies, t in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if to != at:
                     at, closed, held, size = to, False, [], 0
                 if closed:
                     continue
-                held.append((k, t))
+                if held and not guest and held[-1][3] == (d, h):
+                    held[-1][2] += copies
+                    continue
+                if size > arrowtext.PIECE_BYTES // 2 and len(held) > 1:
+                    yield from made(held, keys)
+                    held, size = held[-1:], len(held[-1][1])
+                held.append([k, t, copies, (d, h)])
                 size += len(t)
                 if guest:
                     closed = True
-                    yield made(held)
-                elif size > arrowtext.PIECE_BYTES // 2 and len(held) > 1:
-                    yield made(held)
-                    held, size = held[-1:], len(t)
+                    yield from made(held, keys)
 
     return dealt.mapInArrow(run, f"`{key}` {kind.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
