@@ -3,7 +3,8 @@
 Text is cut into pre-tokens by the published byte-level pattern, evaluated with
 NumPy on code-point classes for a whole batch.  Distinct pre-tokens are encoded
 once.  A pre-token longer than LEAF bytes (text that the pattern doesn't split)
-is encoded by tree concatenation: its leaves are encoded independently, and
+is encoded by tree concatenation: its halves' leaves are encoded in parallel, by
+THREADS threads of the task (the encoder works outside of Python's lock), and
 neighbours are joined by re-encoding a window around the join, which grows
 until its first tokens are those of the left side and its last tokens those of
 the right side.  A byte-pair encoding is canonical exactly if every pair of
@@ -17,6 +18,7 @@ import hashlib
 import itertools
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from tokenizers import pre_tokenizers
 
 from tidemark.llm import arrowtext
 
-#: Bytes up to which a pre-token is encoded in one go.
-LEAF = 512
+#: Bytes up to which a pre-token is encoded in one go; characters of a leaf of a longer one; threads that encode leaves.
+LEAF, THREADS = 512, 4
 #: Tokens on either side of a join that a first window covers, and that have to agree.
 WINDOW, AGREE = 8, 2
 #: Distinct pre-tokens whose encoding a worker remembers.
@@ -121,6 +123,7 @@ class Codec:
             self.to_id[rank] = ids[b]
         self.ranked = bool(np.array_equal(self.to_id, np.arange(len(self.to_id))))
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.ranks, self._unsplit = ranks, None
         self.size = max([*ids.values(), *self.special.values()]) + 1
         table = [b""] * self.size
         for b, i in ids.items():
@@ -131,6 +134,13 @@ class Codec:
         self.table = table
         self.known: dict[bytes, list[int]] = {}
 
+    @property
+    def unsplit(self):
+        """The encoder that takes any text as one pre-token, made when it is needed first."""
+        if self._unsplit is None:
+            self._unsplit = tiktoken.Encoding("unsplit", pat_str=r"(?s).+", mergeable_ranks=self.ranks, special_tokens={})._core_bpe
+        return self._unsplit
+
     def pieces(self, distinct: list[bytes]) -> list[list[int]]:
         """Ids of distinct pre-tokens."""
         known = self.known
@@ -152,15 +162,28 @@ class Codec:
 
     def tree(self, b: bytes, leaf: int = LEAF) -> list[int]:
         """Ids of a long pre-token, by halves."""
-        parts = [b]
+        parts = [b.decode()]
         while max(map(len, parts)) > leaf:
             parts = [h for p in parts for h in ((p[: len(p) // 2], p[len(p) // 2 :]) if len(p) > 1 else (p,))]
-        done = {p: self.leaf(p) for p in set(parts)}  # leaves don't depend on each other
+        distinct = list(dict.fromkeys(parts))
+        step = -(-len(distinct) // THREADS)
+        stretches = [distinct[i : i + step] for i in range(0, len(distinct), step)]
+        if len(distinct) > THREADS:
+            with ThreadPoolExecutor(THREADS) as pool:
+                found = list(pool.map(self.leaves, stretches))
+        else:
+            found = map(self.leaves, stretches)
+        done = dict(zip(distinct, itertools.chain.from_iterable(found), strict=True))
         level = [done[p] for p in parts]
         while len(level) > 1:
             level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
 
+    def leaves(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part, none of them split."""
+        each = map(self.unsplit.encode_ordinary, parts)
+        return [ids if self.ranked else self.to_id[ids].tolist() for ids in each]
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two neighbours' bytes together."""
         span = WINDOW
@@ -236,6 +259,45 @@ def _byte_letters() -> dict[int, int]:
     return out
 
 
+def _settled(b: bytes, rank: int, ranks: dict[bytes, int]) -> list[bytes]:
+    """What merges of a lower rank make of b, wherever two neighbours together are a token."""
+    parts = [b[i : i + 1] for i in range(len(b))]
+    while len(parts) > 1:
+        best, at = min((ranks.get(x + y, rank), i) for i, (x, y) in enumerate(itertools.pairwise(parts)))
+        if best >= rank:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+@functools.cache
+def checked(path: str) -> str:
+    """path, if Codec encodes with this file as the tokenizers library does; else ValueError. The driver asks once.
+
+    The encoder merges any two neighbours that together are a token, the library
+    only listed pairs.  That is the same if the merges before a pair's make its
+    two sides, and nothing else, of its bytes.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") is not None or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError("only byte-level pre-tokens without prefix blanks or normalizers are known")
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError("only plain byte-pair models are known")
+    if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("special tokens that take in what is around them aren't known")
+    letters = {chr(c): b for b, c in _byte_letters().items()}
+    pairs = [[bytes(letters[c] for c in side) for side in (m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    ranks: dict[bytes, int] = {}
+    for rank, (a, z) in enumerate(pairs):
+        ranks.setdefault(a + z, rank)
+    for rank, (a, z) in enumerate(pairs):
+        if ranks[a + z] != rank or _settled(a + z, rank, ranks) != [a, z]:
+            raise ValueError(f"the merge of {a!r} and {z!r} isn't the only way to its token")
+    return path
+
+
 @functools.cache
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -249,6 +311,7 @@ def put_away() -> None:
 
 def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids array<int>) of every row; null text gives no ids. Other columns are left out. path: a file that workers can read."""
+    checked(path)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,13 +340,14 @@ def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> D
     return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
 
 
-def round_trip_digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of every row.
+def round_trip_digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every row, and ids array<int> if they are kept.
 
     Encodes each text, decodes its ids again and digests both, within one pass
     over the input.  Null and empty texts have no tokens and the digests of the
     empty string; repeated rows are returned as often as they come.
     """
+    checked(path)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,17 +361,17 @@ def round_trip_digests(df: DataFrame, path: str, text: str = "text", key: str =
                     at = at[rows]
                     back, ends = coder.decode(ids, rows)
                     said, back = memoryview(said), memoryview(np.ascontiguousarray(back))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column(0),
-                            pa.array(np.diff(rows), pa.int64()),
-                            pa.array([hashlib.sha256(said[a : max(a, z - 1)]).hexdigest() for a, z in zip(at[:-1], at[1:], strict=True)]),
-                            pa.array([hashlib.sha256(back[a:z]).hexdigest() for a, z in zip(ends[:-1], ends[1:], strict=True)]),
-                        ],
-                        [key, "n_tokens", "ids_sha256", "decoded_sha256"],
-                    )
+                    columns = {
+                        key: part.column(0),
+                        "n_tokens": pa.array(np.diff(rows), pa.int64()),
+                        "ids_sha256": pa.array([hashlib.sha256(said[a : max(a, z - 1)]).hexdigest() for a, z in zip(at[:-1], at[1:], strict=True)]),
+                        "decoded_sha256": pa.array([hashlib.sha256(back[a:z]).hexdigest() for a, z in zip(ends[:-1], ends[1:], strict=True)]),
+                    }
+                    if keep_ids:
+                        columns["ids"] = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_pydict(columns)
         finally:
             coder = decimal = None
             put_away()
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
