@@ -23,6 +23,9 @@ from tidemark.llm import arrowtext, bpe
 #: Writer settings: stripes that one task reads at once, row groups for the indexes, Bloom filters.
 OPTIONS = {"orc.stripe.size": str(16 << 20), "orc.row.index.stride": "2000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
 
+#: Bytes of text for a file, at most on average; the session's shuffle partitions are the least number of files.
+FILE_BYTES = 256 << 20
+
 
 def write(df: DataFrame, vocabulary: str, path: str, end: int = 0, text: str = "text", key: str = "doc_id", files: int | None = None) -> None:
     """Encodes every text, appends `end`, and writes (part, first, doc_id, ids) in ascending order of the key.
@@ -31,7 +34,9 @@ def write(df: DataFrame, vocabulary: str, path: str, end: int = 0, text: str = "
     range.  Null texts hold only the end id; null keys come first; rows with
     equal keys are ordered by a hash of their text.
     """
-    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bpe.checked(vocabulary)
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = files or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
