@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import arrowtext
+
 START, BODY, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
-#: Characters of a conversation that are rendered and encoded at once; a longer one is cut between turns, where special tokens stand.
-PIECE_CHARS = 1 << 20
+#: Characters of finished conversations that a task holds before it hands them on.
+BATCH_CHARS = 1 << 20
 
 _control = re.compile(r"<(\\*)\|")
 _escaped = re.compile(r"<\\(\\*)\|")
@@ -84,103 +86,83 @@ def loss_spans(offsets: np.ndarray, masked: np.ndarray) -> list[tuple[int, int]]
 
 
 def format_conversations(df: DataFrame, path: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, part, formatted, ids, loss, spans) of every conversation, turns in ascending order.
+    """(conv, formatted, ids, loss, spans): one row for every conversation, rendered and encoded as a whole, turns in ascending order.
 
     loss: for each id, whether it is learned.  spans: character ranges of the
-    learned texts in `formatted`.  Conversations above PIECE_CHARS have several
-    parts, consecutive and in order within a partition.  Null roles and texts
-    are empty; null turns come first; equal turns are ordered by role and text,
-    and repeated rows are repeated turns.  Null conversation ids are one
-    conversation.
+    learned texts in `formatted`.  Null roles and texts are empty; null turns
+    come first; equal turns are ordered by role and text, and repeated rows are
+    repeated turns.  Null conversation ids are one conversation.  A task holds
+    one conversation at a time, and rows of BATCH_CHARS at most beyond it.
     """
     kind = df.schema[conv].dataType.simpleString()
 
+    @arrowtext.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(path)
-        held: list[tuple[str, str]] = []
-        size, now, part = 0, None, 0
-        rows: list[list] = [[], [], [], [], [], []]
+        columns: list[list] = [[], [], [], [], []]
         chars = 0
 
-        def flush() -> None:
-            nonlocal held, size, part, chars
-            formatted, spans = render(held)
+        def add(name, turns: list[tuple[str, str]]) -> None:
+            nonlocal chars
+            formatted, spans = render(turns)
             found = encoder.encode(formatted, add_special_tokens=False)
             offsets = np.array(found.offsets, np.int64).reshape(-1, 2)
             masked = mask(offsets, spans)
-            for column, value in zip(rows, (now, part, formatted, found.ids, masked.tolist(), [{"low": a, "high": z} for a, z in loss_spans(offsets, masked)]), strict=True):
+            learned = [{"low": a, "high": z} for a, z in loss_spans(offsets, masked)]
+            for column, value in zip(columns, (name, formatted, np.array(found.ids, np.int32), masked, learned), strict=True):
                 column.append(value)
-            held, size, part, chars = [], 0, part + 1, chars + len(formatted)
+            chars += len(formatted)
 
-        def batch_of() -> pa.RecordBatch:
-            nonlocal rows, chars
-            kinds = (schema.field(0).type, pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], [conv, "part", "formatted", "ids", "loss", "spans"])
-            rows, chars = [[], [], [], [], [], []], 0
+        def rows(name_type: pa.DataType) -> pa.RecordBatch:
+            nonlocal columns, chars
+            kinds = (name_type, pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [conv, "formatted", "ids", "loss", "spans"])
+            columns, chars = [[], [], [], [], []], 0
             return out
 
-        begun = False
+        held: list[tuple[str, str]] = []
+        name, begun, name_type = None, False, None
         for batch in batches:
-            schema = batch.schema
+            name_type = batch.schema.field(0).type
             for c, r, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if begun and c != now:
-                    flush()
-                    part = 0
-                elif size > PIECE_CHARS:
-                    flush()
-                if chars > PIECE_CHARS:
-                    yield batch_of()
-                begun, now = True, c
+                if begun and c != name:
+                    add(name, held)
+                    held = []
+                    if chars > BATCH_CHARS:
+                        yield rows(name_type)
+                begun, name = True, c
                 held.append((r or "", t or ""))
-                size += len(t or "")
         if begun:
-            flush()
-            yield batch_of()
+            add(name, held)
+            yield rows(name_type)
 
     ordered = df.select(conv, turn, role, text).repartition(conv).sortWithinPartitions(conv, turn, role, text).select(conv, role, text)
-    return ordered.mapInArrow(run, f"`{conv}` {kind}, part int, formatted string, ids array<int>, loss array<boolean>, spans array<struct<low:int,high:int>>")
+    return ordered.mapInArrow(run, f"`{conv}` {kind}, formatted string, ids array<int>, loss array<boolean>, spans array<struct<low:int,high:int>>")
 
 
 def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from format_conversations()."""
+    """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from rows of format_conversations() in any order."""
     kind = formatted.schema[conv].dataType.simpleString()
 
+    def digest(text: str, spans: list[dict]) -> tuple:
+        turns = parse(text)
+        said, learned, chars = hashlib.sha256(), hashlib.sha256(), 0
+        for r, t in turns:
+            said.update(f"{r}\n{t}\n".encode())
+        for s in spans:
+            part = unescape(text[s["low"] : s["high"]])
+            chars += len(part)
+            learned.update(part.encode())
+        return len(turns), said.hexdigest(), chars, learned.hexdigest(), len(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, now = None, None
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         for batch in batches:
-            done = []
-            for c, part, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if part == 0:
-                    if state:
-                        done.append((now, state))
-                    state, now = [0, hashlib.sha256(), 0, hashlib.sha256(), 0], c
-                turns = parse(text)
-                state[0] += len(turns)
-                for r, t in turns:
-                    state[1].update(f"{r}\n{t}\n".encode())
-                for s in spans:
-                    learned = unescape(text[s["low"] : s["high"]])
-                    state[2] += len(learned)
-                    state[3].update(learned.encode())
-                state[4] += len(text)
-            yield rows(done, batch.schema.field(0).type)
-        if state:
-            yield rows([(now, state)], batch.schema.field(0).type)
-
-    def rows(done: list, of: pa.DataType) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([c for c, _ in done], of),
-                pa.array([s[0] for _, s in done], pa.int64()),
-                pa.array([s[1].hexdigest() for _, s in done], pa.string()),
-                pa.array([s[2] for _, s in done], pa.int64()),
-                pa.array([s[3].hexdigest() for _, s in done], pa.string()),
-                pa.array([s[4] for _, s in done], pa.int64()),
-            ],
-            [conv, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
-        )
-
-    return formatted.select(conv, "part", "formatted", "spans").mapInArrow(run, f"`{conv}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+            each = [digest(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            columns = list(zip(*each, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [conv, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    return formatted.select(conv, "formatted", "spans").mapInArrow(run, f"`{conv}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def with_probe(conversations: DataFrame, spark) -> DataFrame:
