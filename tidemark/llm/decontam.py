@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from tidemark.llm import workspace
 
 WINDOW, K = 10, 5
-SPAN = WINDOW - K + 1
-#: Rows up to which a side is broadcast; counted first. Beyond, the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a side is broadcast, added up first. Beyond, the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
-#: Fixed values of the contract: what separates words, once A-Z are lower-cased.
-SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed values of the contract: what separates words (A-Z, which are lower-cased, don't).
+SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,9 +31,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def split(text: Column) -> Column:
+    """Words of a text as they are written; none for null."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATOR), "")
+
+
 def words(text: Column) -> Column:
-    """Words of a text; none for null."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATOR), "")
+    """Words of a text with A-Z in lower case; other letters stay. Only words beyond ASCII need the slow way."""
+    lower = lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
+    return F.transform(split(text), lower)
 
 
 def grams(of: Column, n: int) -> Column:
@@ -54,78 +59,90 @@ def winnowed(of: Column, n: int, span: int) -> Column:
     return let(of, lambda w: let(grams(w, n), kept))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if a count shows that it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """df, a written table, marked for broadcast if the sizes of its rows add up to BROADCAST_BYTES at most."""
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
-def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, n_words, n_hit, n_items, items) of every row of documents.
+def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns named in `carry`, n_words, n_hit, n_items, items) of every row of documents.
 
     n_hit: words inside any occurrence of a benchmark window.  items: the ids,
     as strings and sorted, of items with an occurring window.  Null and empty
     texts have no words.  Rows are told apart by key and text; equal rows get
     equal results, null keys too.
     """
-    docs = documents.select(F.col(key).alias("k"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
-    sizes = docs.select("k", "h", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    # Every window of the benchmark once, with the items that have it.
+    none = F.array().cast("array<string>")
+    kept = [F.col(c).alias(f"carried_{c}") for c in carry]
+    out = [F.col("k").alias(key), *(F.col(f"carried_{c}").alias(c) for c in carry if c != key)]
+    docs = documents.select(F.col(key).alias("k"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"), *kept)
+    sizes = docs.select("k", "h", F.size(split(F.col("text"))).cast("long").alias("n_words"), *(f"carried_{c}" for c in carry))
+    # Every window of the benchmark once, with a number; whose it is stays apart.
     cut = workspace.written(benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0), "items")
     wide = F.least(F.size("w"), F.lit(WINDOW))
-    windows = cut.select("item", wide.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - wide + 1), lambda i: F.slice("w", i, wide))).alias("said"))
-    windows = workspace.written(windows.groupBy("n", "said").agg(F.collect_set("item").alias("items")), "windows")
+    said = cut.select("item", wide.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - wide + 1), lambda i: F.slice("w", i, wide))).alias("said")).distinct()
+    said = workspace.written(said, "said")
+    windows = workspace.written(said.select("n", "said").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most WINDOW values
-    none = F.array().cast("array<string>")
     if not lengths:
-        return sizes.select(F.col("k").alias(key), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items"))
-
-    # Window length n: winnowing with K-grams (fewer words: the whole window) and runs that fit the guarantee.
-    def prints(df: DataFrame, n: int, of: Column, *ids: str) -> DataFrame:
-        k = min(K, n)
-        return df.select(*ids, F.lit(n).alias("n"), F.explode(winnowed(of, k, n - k + 1)).alias("g"))
-
-    asked = workspace.written(_union([prints(windows.where(F.col("n") == n), n, F.col("said")) for n in lengths]).distinct(), "prints")
-    held = _union([prints(docs, n, words(F.col("text")), "k", "h") for n in lengths])
-    met = held.join(_small(asked), ["n", "g"]).groupBy("k", "h").agg(F.collect_set(F.struct("n", "g")).alias("met"))
+        zero = F.lit(0).cast("long")
+        return sizes.select(*out, "n_words", zero.alias("n_hit"), zero.alias("n_items"), none.alias("items"))
+    owners = said.join(windows, ["n", "said"]).select("window", "item")
+
+    # Windows of K words and more are winnowed by K-grams over runs that fit the shortest of them, which is
+    # denser than the longer ones need; of shorter windows every gram of their length is a print.
+    spans = {n: 1 for n in lengths if n < K}
+    if lengths[-1] >= K:
+        spans[K] = min(n for n in lengths if n >= K) - K + 1
+
+    def prints(of: Column, only: Column | None = None) -> Column:
+        """(gram length, hash) of a text's prints; only: the single length to make prints of."""
+        tagged = lambda k: lambda g: F.struct(F.lit(k).alias("k_gram"), g.alias("g"))
+        each = [F.transform(winnowed(of, k, span), tagged(k)) for k, span in spans.items()]
+        if only is not None:
+            each = [F.when(only == k, x).otherwise(F.slice(x, 1, 0)) for (k, _), x in zip(spans.items(), each, strict=True)]
+        return F.concat(*each)
+
+    asked = windows.select(F.inline(prints(F.col("said"), F.least("n", F.lit(K)))))
+    asked = _small(workspace.written(asked.distinct(), "prints"), F.lit(16))
+    held = docs.select("k", "h", F.inline(let(words(F.col("text")), lambda w: prints(w))))
+    met = held.join(asked, ["k_gram", "g"]).groupBy("k", "h").agg(F.collect_set(F.struct("k_gram", "g")).alias("met"))
     met = workspace.written(met, "met")
 
     # Documents that share a hash, again: all windows over the shared hashes, word by word.
-    d, m = docs.alias("d"), _small(met).alias("m")
+    d, m = docs.alias("d"), _small(met, F.size("met") * 16 + 32).alias("m")
     again = d.join(m, F.expr("d.k <=> m.k AND d.h <=> m.h")).selectExpr("d.k", "d.h", "d.text", "m.met").dropDuplicates(["k", "h"])
+    again = workspace.written(again.select("k", "h", words(F.col("text")).alias("w"), "met"), "again")
 
-    def starts(n: int) -> DataFrame:
+    def starts(w: Column, shared: Column, n: int) -> Column:
+        """(at, n, words) of the windows of n words over the shared hashes."""
         k = min(K, n)
-        mine = F.transform(F.filter("met", lambda x: x["n"] == n), lambda x: x["g"])
-
-        def over(w: Column) -> Column:
-            last = F.size(w) - (n - 1)  # where the last window begins
-            hits = lambda g, wanted: F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(wanted, x), i + 1)), lambda i: i.isNotNull())
-            around = lambda i: F.filter(F.sequence(i - (n - k), i), lambda s: (s >= 1) & (s <= last))
-            at = let(mine, lambda wanted: let(grams(w, k), lambda g: F.array_distinct(F.flatten(F.transform(hits(g, wanted), around)))))
-            return F.transform(at, lambda s: F.struct(s.alias("at"), F.slice(w, s, n).alias("said")))
-
-        return again.where(F.exists("met", lambda x: x["n"] == n)).select("k", "h", F.lit(n).alias("n"), F.inline(let(words(F.col("text")), over)))
-
-    hits = _union([starts(n) for n in lengths]).join(_small(windows), ["n", "said"]).select("k", "h", "at", "n", "items")
+        mine = F.transform(F.filter(shared, lambda x: x["k_gram"] == k), lambda x: x["g"])
+        last = F.size(w) - (n - 1)  # where the last window begins
+        hits = lambda g, wanted: F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(wanted, x), i + 1)), lambda i: i.isNotNull())
+        around = lambda i: F.filter(F.sequence(i - (n - k), i), lambda s: (s >= 1) & (s <= last))
+        at = let(mine, lambda wanted: let(grams(w, k), lambda g: F.array_distinct(F.flatten(F.transform(hits(g, wanted), around)))))
+        return F.transform(at, lambda s: F.struct(s.alias("at"), F.lit(n).alias("n"), F.slice(w, s, n).alias("said")))
+
+    tried = again.select("k", "h", F.inline(F.concat(*(starts(F.col("w"), F.col("met"), n) for n in lengths))))
+    hits = tried.join(_small(windows, F.octet_length(F.array_join("said", " ")) + 64), ["n", "said"]).select("k", "h", "at", "n", "window")
     hits = workspace.written(hits, "hits")
     # Words under the hits: each hit adds those beyond the furthest word that hits before it cover.
     before = Window.partitionBy("k", "h").orderBy("at", "n").rowsBetween(Window.unboundedPreceding, -1)
     ends = F.col("at") + F.col("n")
     fresh = F.greatest(ends - F.greatest(F.coalesce(F.max(ends).over(before), F.lit(0)), F.col("at")), F.lit(0))
-    covered = hits.select("k", "h", fresh.alias("fresh")).groupBy("k", "h").agg(F.sum("fresh").cast("long").alias("n_hit"))
-    items = hits.select("k", "h", F.explode("items").alias("item")).distinct().groupBy("k", "h").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    c, i = covered.alias("c"), items.alias("i")
-    found = workspace.written(c.join(i, F.expr("c.k <=> i.k AND c.h <=> i.h")).selectExpr("c.k", "c.h", "c.n_hit", "i.items"), "found")
-    s, f = sizes.alias("s"), _small(found).alias("f")
-    out = s.join(f, F.expr("s.k <=> f.k AND s.h <=> f.h"), "left").selectExpr("s.k", "s.n_words", "f.n_hit", "f.items")
-    return out.select(F.col("k").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    covered = hits.select("k", "h", "window", fresh.alias("fresh")).groupBy("k", "h")
+    covered = covered.agg(F.sum("fresh").cast("long").alias("n_hit"), F.array_sort(F.collect_set("window")).alias("of"))
+    covered = workspace.written(covered, "covered")
+    # Documents with the same windows have the same items, which are put together once.
+    combined = workspace.written(covered.groupBy("of").agg(F.count("*").alias("documents")), "combined")
+    items = combined.select("of", F.explode("of").alias("window")).join(owners, "window").groupBy("of").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = workspace.written(combined.join(items, "of"), "combined-items")
+    found = workspace.written(workspace.lookup(covered, items, ["of"], "documents", covered.count()).drop("of", "documents"), "found")
+    s, f = sizes.alias("s"), _small(found, F.octet_length(F.array_join("items", " ")) + 64).alias("f")
+    got = s.join(f, F.expr("s.k <=> f.k AND s.h <=> f.h"), "left").select("s.*", "f.n_hit", "f.items")
+    return got.select(*out, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
