@@ -1,10 +1,21 @@
-"""Regression slopes of runs of buckets, exact and bounded."""
+"""Regression slopes of runs of buckets, exact and bounded.
+
+Runs are read off window frames over bounded blocks of time: each block of an
+id's buckets also gets the first buckets of the next one, as many as a run may
+reach into it, so a long series is the work of many tasks and positions stay
+small numbers within a block.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets of a block, at least.
+BLOCK = 4096
+
 
 def angle(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column) -> Column:
     """Degrees of the least-squares slope; null without two different times."""
@@ -12,45 +23,203 @@ def angle(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column) -> Column
     return F.when((n > 1) & (down != 0), F.degrees(F.atan((n * sxy - sx * sy) / down)))
 
 
-def cumulated(grid: DataFrame) -> DataFrame:
-    """Prefix sums of a dense grid of regression_sums(): row b holds the sums of buckets before b."""
-    before = Window.partitionBy("id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda c: F.coalesce(F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(before), F.lit(0.0)).alias(c)
-    filled = F.coalesce(F.sum((F.coalesce("n", F.lit(0)) > 0).cast("int")).over(before), F.lit(0)).alias("filled")
-    return grid.select("id", "b", filled, *map(total, ("n", "sx", "sy", "sxy", "sxx")))
+def blocks(table: DataFrame, reach: int) -> tuple[DataFrame, int]:
+    """(table with `block` and the place `at` of b in it, buckets of a block): the first `reach` buckets of a block also are in the one before."""
+    size = max(BLOCK, 4 * reach)
+    own = F.floor(F.col("b") / size).cast("long")
+    both = F.array(own, F.when(F.col("b") - own * size < reach, own - 1))
+    dealt = table.withColumn("block", F.explode(F.array_compact(both)))
+    return dealt.withColumn("at", F.col("b") - F.col("block") * size), size
 
 
-def runs(grid: DataFrame, low: int, high: int, buckets: int) -> DataFrame:
-    """(id, b, len, angle) of every run of low..high buckets without an empty one."""
-    last = grid.select("id").distinct().withColumn("b", F.lit(buckets).cast("long"))
-    c = cumulated(grid.unionByName(last, allowMissingColumns=True))
-    a = c.select("id", "b", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("len"), *(F.col(x).alias("a_" + x) for x in ("filled", "n", "sx", "sy", "sxy", "sxx"))).withColumn("to", F.col("b") + F.col("len"))
-    z = c.withColumnRenamed("b", "to")
-    d = lambda x: F.col(x) - F.col("a_" + x)
-    both = a.join(z, ["id", "to"]).where(d("filled") == F.col("len"))
-    return both.select("id", "b", "len", angle(d("n"), d("sx"), d("sy"), d("sxy"), d("sxx")).alias("angle")).where("angle IS NOT NULL")
+def runs(sums: DataFrame, low: int, high: int) -> DataFrame:
+    """(id, b, len, angle) of every run of low..high buckets that all hold points, from regression_sums().
 
+    Buckets follow each other by b; a column x0, where there is one, says at
+    which bucket of time they are.
+    """
+    table, size = blocks(sums.where("n > 0"), high - 1)
+    place = F.col("x0") - F.col("block") * size if "x0" in sums.columns else F.col("at")
+    at, n = place.cast("double"), F.col("n").cast("double")
+    # Positions count from the beginning of the block.
+    moved = {"n": n, "sx": F.col("sx") + at * n, "sy": F.col("sy"), "sxy": F.col("sxy") + at * F.col("sy"), "sxx": F.col("sxx") + 2 * at * F.col("sx") + at * at * n}
+    by = Window.partitionBy("id", "block").orderBy("at")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    t = table.select("id", "block", "at", *(c.alias(f"own_{k}") for k, c in moved.items()))
+    t = t.select("*", *(F.sum(f"own_{k}").over(upto).alias(k) for k in moved))
+    t = t.withColumn("ahead", F.collect_list(F.struct("at", *moved)).over(by.rowsBetween(low - 1, high - 1)))
+    t = t.where((F.col("at") >= 0) & (F.col("at") < size)).select("*", F.posexplode("ahead").alias("i", "end"))
+    t = t.where(F.col("end.at") == F.col("at") + F.col("i") + (low - 1))  # no empty bucket lies between
+    d = {k: F.col(f"end.{k}") - F.col(k) + F.col(f"own_{k}") for k in moved}
+    out = t.select("id", (F.col("block") * size + F.col("at")).alias("b"), (F.col("i") + low).alias("len"), angle(d["n"], d["sx"], d["sy"], d["sxy"], d["sxx"]).alias("angle"))
+    return out.where("angle IS NOT NULL")
 
-def interval(sub: DataFrame, factor: int, length: int) -> DataFrame:
-    """(id, b, est, lo, hi): bounds of the slope angle of `length` buckets from aggregate() of sub-buckets, `factor` to a bucket.
 
-    Runs with an empty sub-bucket are left out.  Only min, max, count and sum
-    of the sub-buckets are used; the exact slope lies between the bounds.
+def _sum(parts: Column, f) -> Column:
+    return F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + f(p))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
+def envelope(parts: Column) -> Column:
+    """struct(est, lo, hi) of the slope of the points in `parts`, an array of (f, t, w, sm, mn, mx): w points between times f and t, in order.
+
+    Null ends: the bounds don't hold the slope, or there are too few parts or points.
     """
-    k = factor * length
-    starts = sub.where(F.col("b") % factor == 0).select("id", F.floor(F.col("b") / factor).cast("long").alias("start"))
-    parts = starts.withColumn("b", F.explode(F.sequence(F.col("start") * factor, F.col("start") * factor + (k - 1)))).join(sub, ["id", "b"])
-    y = F.col("sm") / F.col("n")
-    parts = parts.select("id", "start", F.col("n").cast("double").alias("w"), ((F.col("b") + 0.5) / factor - F.col("start")).alias("m"), y.alias("y"), F.greatest(F.col("mx") - y, y - F.col("mn")).alias("d"), "sm")
-    h = 0.5 / factor
-    means = parts.groupBy("id", "start").agg(F.count("*").alias("k"), F.sum("w").alias("nn"), (F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("xm"), (F.sum("sm") / F.sum("w")).alias("ym")).where(F.col("k") == k)
-    w, dx, dy = F.col("w"), F.col("m") - F.col("xm"), F.col("y") - F.col("ym")
-    s = parts.join(means, ["id", "start"]).groupBy("id", "start").agg(
-        F.sum(w * dx * dx).alias("sxx"), F.sum(w * dx * dy).alias("sxy"), F.sum(w * F.abs(dy) * h + w * 2 * h * F.col("d")).alias("exy"), F.sum(w * F.abs(dx) * 2 * h).alias("edn"), F.sum(w * (2 * h) * (2 * h) + w * h * h).alias("eup")
+    mid, half = lambda p: (p["f"] + p["t"]) / 2, lambda p: (p["t"] - p["f"]) / 2
+    total = F.struct(
+        _sum(parts, lambda p: p["w"]).alias("n"),
+        _sum(parts, lambda p: p["w"] * mid(p)).alias("wm"),
+        _sum(parts, lambda p: p["sm"]).alias("sm"),
+        _sum(parts, lambda p: p["w"] * half(p)).alias("wh"),
     )
-    ends = [(F.col("sxy") + e) / d for e in (F.col("exy"), -F.col("exy")) for d in (F.col("sxx") - F.col("edn"), F.col("sxx") + F.col("edn") + F.col("eup"))]
-    deg = lambda c: F.degrees(F.atan(c))
-    return s.where("sxx - edn > 0").select("id", F.col("start").alias("b"), deg(F.col("sxy") / F.col("sxx")).alias("est"), deg(F.least(*ends)).alias("lo"), deg(F.greatest(*ends)).alias("hi"))
+
+    def around(t: Column) -> Column:
+        x, y, spread = t["wm"] / t["n"], t["sm"] / t["n"], t["wh"] / t["n"]
+        dx, dy = lambda p: mid(p) - x, lambda p: p["sm"] / p["w"] - y
+        off = lambda p: F.greatest(p["mx"] - p["sm"] / p["w"], p["sm"] / p["w"] - p["mn"])
+        return F.struct(
+            t["n"].alias("n"),
+            _sum(parts, lambda p: p["w"] * dx(p) * dx(p)).alias("sxx"),
+            _sum(parts, lambda p: p["w"] * dx(p) * dy(p)).alias("sxy"),
+            _sum(parts, lambda p: p["w"] * half(p) * (F.abs(dy(p)) + 2 * off(p))).alias("exy"),
+            _sum(parts, lambda p: p["w"] * F.abs(dx(p)) * 2 * half(p)).alias("less"),
+            _sum(parts, lambda p: p["w"] * ((half(p) + spread) * (half(p) + spread) + half(p) * half(p))).alias("more"),
+        )
+
+    def ends(s: Column) -> Column:
+        down = (s["sxx"] - s["less"], s["sxx"] + s["less"] + s["more"])
+        each = [(s["sxy"] + e) / d for e in (s["exy"], -s["exy"]) for d in down]
+        holds = (F.size(parts) > 1) & (s["n"] > 1) & (s["sxx"] > 0)
+        bounded = holds & (down[0] > 0)
+        return F.struct(
+            F.when(holds, s["sxy"] / s["sxx"]).alias("est"),
+            F.when(bounded, F.least(*each)).alias("lo"),
+            F.when(bounded, F.greatest(*each)).alias("hi"),
+        )
+
+    return let(total, lambda t: let(around(t), ends))
+
+
+def windows(sub: DataFrame, width: int, unit: int, length: int) -> DataFrame:
+    """(id, b, parts) of every run of `length` units that all hold points, from aggregate() of sub-buckets `width` wide.
+
+    parts: the sub-buckets that hold points and meet the run, in order, as
+    envelope() takes them, times in units from the beginning of the run.  If
+    `width` doesn't divide `unit`, the outer ones may reach over its ends.
+    """
+    f, t = F.col("b") * width, F.col("b") * width + width
+    part = F.struct((f / unit).alias("f"), (t / unit).alias("t"), F.col("n").cast("double").alias("w"), "sm", "mn", "mx")
+    units = F.sequence(F.floor(f / unit).cast("long"), F.floor((t - 1) / unit).cast("long"))
+    table = sub.where("n > 0").select("id", F.explode(units).alias("u"), part.alias("part"))
+    table = table.groupBy("id", F.col("u").alias("b")).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    table, size = blocks(table, length - 1)
+    by = Window.partitionBy("id", "block").orderBy("at")
+    ahead = F.collect_list(F.struct("at", "parts")).over(by.rowsBetween(0, length - 1))
+    t = table.select("id", "block", "at", "b", ahead.alias("ahead")).where((F.col("at") >= 0) & (F.col("at") < size))
+    t = t.where((F.size("ahead") == length) & (F.col("ahead")[length - 1]["at"] == F.col("at") + (length - 1)))
+    every = F.array_distinct(F.flatten(F.transform("ahead", lambda x: x["parts"])))  # one that reaches into two units comes twice
+    here = F.transform(every, lambda p: F.struct((p["f"] - F.col("b")).alias("f"), (p["t"] - F.col("b")).alias("t"), p["w"].alias("w"), p["sm"].alias("sm"), p["mn"].alias("mn"), p["mx"].alias("mx")))
+    return t.select("id", "b", here.alias("parts"))
+
+
+def _degrees(t: DataFrame, bounds: Column) -> DataFrame:
+    deg = lambda c: F.degrees(F.atan(F.col(f"x.{c}"))).alias(c)
+    t = t.select("id", "b", bounds.alias("x")).select("id", "b", deg("est"), deg("lo"), deg("hi"))
+    return t.withColumn("defined", F.col("lo").isNotNull() & F.col("hi").isNotNull())
+
+
+def interval(sub: DataFrame, factor: int, length: int) -> DataFrame:
+    """(id, b, est, lo, hi, defined): bounds of the slope angle of `length` buckets from aggregate() of sub-buckets, `factor` to a bucket.
+
+    Only min, max, count and sum of the sub-buckets are used; the exact slope
+    lies between the bounds.  Empty sub-buckets are passed over; a run needs
+    points in each of its buckets.  Where the bounds are undefined (fewer than
+    two sub-buckets, or times that could coincide) the row says so.
+    """
+    return _degrees(windows(sub, 1, factor, length), envelope(F.col("parts")))
+
+
+def straddling_interval(sub: DataFrame, width: int, unit: int, length: int) -> DataFrame:
+    """interval() of sub-buckets whose width doesn't divide the unit: the hull of the bounds with and without those that reach over an end.
+
+    est is that of all parts, or the middle of the hull where it is undefined.
+    """
+    parts = F.col("parts")
+    last = F.element_at(parts, -1)
+    left, right = (parts[0]["f"] < 0).cast("int"), (last["t"] > length).cast("int")
+    cuts = [F.slice(parts, F.lit(1) + a * left, F.greatest(F.size(parts) - a * left - z * right, F.lit(0))) for a in (0, 1) for z in (0, 1)]
+    each = F.transform(F.array(*cuts), lambda p: envelope(p))
+
+    def hull(e: Column) -> Column:
+        lo, hi = F.array_min(F.transform(e, lambda x: x["lo"])), F.array_max(F.transform(e, lambda x: x["hi"]))
+        return F.struct(F.coalesce(F.when(e[0]["lo"].isNotNull(), e[0]["est"]), (lo + hi) / 2).alias("est"), lo.alias("lo"), hi.alias("hi"))
+
+    return _degrees(windows(sub, width, unit, length), let(each, hull))
+
+
+def rigorous_interval(sub: DataFrame, width: int, unit: int, length: int) -> DataFrame:
+    """straddling_interval() that holds the slope whatever part of the outer sub-buckets lies inside.
+
+    For each number of points that an outer sub-bucket may have inside, its
+    inner sum is between limits that its minimum, maximum and total set; the
+    bounds are the hull over all numbers.  NumPy, a window at a time.
+    """
+
+    @F.pandas_udf("struct<est double, lo double, hi double>")
+    def bound(parts: pd.Series) -> pd.DataFrame:
+        each = [rigorous_bounds(np.array([[p[k] for k in ("f", "t", "w", "sm", "mn", "mx")] for p in x]), float(length)) for x in parts]
+        return pd.DataFrame(each, columns=["est", "lo", "hi"])
+
+    return _degrees(windows(sub, width, unit, length), bound("parts"))
+
+
+def rigorous_bounds(parts: np.ndarray, end: float) -> tuple[float | None, float | None, float | None]:
+    """(est, lo, hi) for rows (f, t, w, sm, mn, mx) over the time from 0 to `end`."""
+    left, right = parts[0, 0] < 0, len(parts) > 1 and parts[-1, 1] > end or len(parts) == 1 and parts[0, 0] >= 0 and parts[0, 1] > end
+    inner = parts[int(left) : len(parts) - int(right)]
+    outer = [p for p, there in ((parts[0], left), (parts[-1], right)) if there]
+    lows, highs, est = [], [], None
+    counts = np.meshgrid(*(np.arange(int(p[2]) + 1) for p in outer), indexing="ij") if outer else []
+    choices = np.stack([c.ravel() for c in counts], axis=1) if outer else np.zeros((1, 0))
+    for k in choices:
+        # Parts with the range of their mean: known inside, limited outside.
+        rows = [(p[0], p[1], p[2], p[3] / p[2], p[3] / p[2], p[4], p[5]) for p in inner]
+        for (f, t, w, sm, mn, mx), c in zip(outer, k, strict=True):
+            if c:
+                low, high = max(c * mn, sm - (w - c) * mx), min(c * mx, sm - (w - c) * mn)
+                rows.append((max(f, 0.0), min(t, end), float(c), low / c, high / c, mn, mx))
+        if len(rows) < 2 or sum(r[2] for r in rows) < 2:
+            continue
+        f, t, w, y0, y1, mn, mx = np.array(rows).T
+        mid, half, n = (f + t) / 2, (t - f) / 2, w.sum()
+        dx = mid - w @ mid / n
+        sxx = w @ (dx * dx)
+        down = sxx - w @ (np.abs(dx) * 2 * half)
+        if not down > 0:
+            return None, None, None
+        spread = w @ half / n
+        up = sxx + w @ (np.abs(dx) * 2 * half) + w @ ((half + spread) ** 2 + half**2)
+        a, z = w @ y0 / n, w @ y1 / n  # the mean of all lies between
+        away = np.maximum(np.abs(y1 - a), np.abs(y0 - z))
+        inside = np.maximum(mx - y0, y1 - mn)
+        e = w @ (half * (away + 2 * inside))
+        flat = w * dx
+        sxy0, sxy1 = np.minimum(flat * y0, flat * y1).sum(), np.maximum(flat * y0, flat * y1).sum()
+        ends = [s / d for s in (sxy0 - e, sxy1 + e) for d in (down, up)]
+        lows.append(min(ends))
+        highs.append(max(ends))
+        est = (sxy0 + sxy1) / 2 / sxx  # of the last choice, which takes all points in
+    return (est, min(lows), max(highs)) if lows else (None, None, None)
+
+
+def unit_error(bounds: DataFrame) -> DataFrame:
+    """(id, windows, error): the mean share of all angles that bounds leave open, 1 where they are undefined."""
+    share = F.coalesce((F.col("hi") - F.col("lo")) / 180, F.lit(1.0))
+    return bounds.groupBy("id").agg(F.count("*").alias("windows"), F.avg(share).alias("error"))
 
 
 def vertex_bounds(points: DataFrame, *by: str) -> DataFrame:
@@ -60,7 +229,8 @@ def vertex_bounds(points: DataFrame, *by: str) -> DataFrame:
     mid = (F.col("y_min") + F.col("y_max")) / 2
     high = F.when(xc > 0, F.col("y_max")).when(xc < 0, F.col("y_min")).otherwise(mid)
     low = F.when(xc > 0, F.col("y_min")).when(xc < 0, F.col("y_max")).otherwise(mid)
-    got = points.join(means, list(by)).groupBy(*by).agg(F.max("points").alias("points"), F.sum(xc * xc).alias("d"), F.sum(xc * low).alias("l"), F.sum(xc * high).alias("h"))
+    sums = points.join(means, list(by)).groupBy(*by)
+    got = sums.agg(F.max("points").alias("points"), F.sum(xc * xc).alias("d"), F.sum(xc * low).alias("l"), F.sum(xc * high).alias("h"))
     return got.where("points > 1 AND d > 0").select(*by, (F.col("l") / F.col("d")).alias("lo"), (F.col("h") / F.col("d")).alias("hi"))
 
 
@@ -74,6 +244,42 @@ def sampled_ci(sums: DataFrame) -> DataFrame:
     return slope.select("id", "b", "n", deg(F.col("s")).alias("est"), deg(F.col("s") - 1.96 * error).alias("lo"), deg(F.col("s") + 1.96 * error).alias("hi"))
 
 
+def bootstrap_ci(sample: DataFrame, width: int, origin: int, draws: int = 500, level: float = 0.95) -> DataFrame:
+    """(id, b, n, est, lo, hi): slope angle of rank_sample() in each bucket, with percentile bounds over `draws` resamples.
+
+    A sample is bounded by its ranks, so it is gathered by bucket.  The draws
+    depend on the bucket's number only; a bucket without two times is unbounded
+    (-90 to 90) and without an estimate.
+    """
+
+    @F.pandas_udf("struct<est double, lo double, hi double>")
+    def bound(b: pd.Series, points: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_bootstrap(int(k), np.array([[p["x"], p["y"]] for p in x]), draws, level) for k, x in zip(b, points, strict=True)], columns=["est", "lo", "hi"])
+
+    x = (F.col("ts_ms") - origin) / F.lit(float(width)) - F.col("b")
+    points = F.array_sort(F.collect_list(F.struct(x.alias("x"), F.col("value").alias("y"))))
+    t = sample.groupBy("id", "b").agg(F.count("*").alias("n"), points.alias("points"))
+    return t.withColumn("x", bound("b", "points")).select("id", "b", "n", "x.est", "x.lo", "x.hi")
+
+
+def _bootstrap(seed: int, xy: np.ndarray, draws: int, level: float) -> tuple[float | None, float, float]:
+    def slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        dx = x - x.mean(axis=-1, keepdims=True)
+        with np.errstate(all="ignore"):
+            return np.degrees(np.arctan((dx * y).sum(axis=-1) / (dx * dx).sum(axis=-1)))
+
+    x, y = xy.T
+    if len(np.unique(x)) < 2:
+        return None, -90.0, 90.0
+    take = np.random.default_rng(seed & 0x7FFFFFFF).integers(0, len(x), (draws, len(x)))
+    found = slopes(x[take], y[take])
+    found = found[np.isfinite(found)]
+    tail = 100 * (1 - level) / 2
+    low, high = np.percentile(found, [tail, 100 - tail]) if len(found) else (-90.0, 90.0)
+    est = float(slopes(x, y))
+    return est, min(float(low), est), max(float(high), est)
+
+
 def overshoot(lo: Column, hi: Column, low: float, high: float) -> Column:
     """Share of [lo, hi] outside [low, high]; 0 if it has no width."""
     out = (F.greatest(F.lit(0.0), F.lit(low) - lo) + F.greatest(F.lit(0.0), hi - F.lit(high))) / (hi - lo)

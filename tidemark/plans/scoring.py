@@ -50,6 +50,13 @@ def cost_summary(costs: DataFrame) -> DataFrame:
     return each.join(runs, "method").select("method", "queries", "total", "mean", "p95")
 
 
+def tightness(bounds: DataFrame) -> DataFrame:
+    """(windows, mean_width, median_width, p95_width, undefined) of bounds (lo, hi, defined): widths of the defined, share of the others."""
+    width = F.col("hi") - F.col("lo")
+    widths = [F.avg(width).alias("mean_width"), F.percentile(width, 0.5).alias("median_width"), F.percentile(width, 0.95).alias("p95_width")]
+    return bounds.agg(F.count("*").alias("windows"), *widths, F.avg((~F.col("defined")).cast("int")).alias("undefined"))
+
+
 def risk_coverage(classified: DataFrame, steps: int = 10) -> DataFrame:
     """(threshold, covered, risk): share of matches with an overshoot of at most the threshold, and their mean overshoot; null without any."""
     limits = [k / steps for k in range(steps + 1)]

@@ -109,10 +109,11 @@ def bucket_first_last(spark: SparkSession, sf: str) -> DataFrame:
     return buckets.four_points(src.from_events(spark, sf), DAY, ORIGIN).select("id", "b", "first_v", "last_v")
 
 
-X = f"((ts_ms - {ORIGIN}) / {UNIT}.0)"
+X = f"(((ts_ms - {ORIGIN}) % {UNIT}) / {UNIT}.0)"
 SUMS = f"count(*) AS n, sum({X}) AS sx, sum(value) AS sy, sum({X} * value) AS sxy, sum({X} * {X}) AS sxx, sum(value * value) AS syy, min(value) AS mn, max(value) AS mx"
 R = ", ".join(f"round({c}, 4) AS {c}" for c in ("sx", "sy", "sxy", "sxx", "syy"))
-OLS = f"WITH {S}, o AS (SELECT id, {b(UNIT)} AS b, {SUMS} FROM s GROUP BY ALL)"
+O = f"o AS (SELECT *, b AS ob FROM (SELECT id, {b(UNIT)} AS b, {SUMS} FROM s GROUP BY ALL))"
+OLS = f"WITH {S}, {O}"
 
 
 @query(f"{OLS} SELECT id, b, n, {R} FROM o")
@@ -156,30 +157,44 @@ def sliding_ols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _runs(lo: int, hi: int, name: str = "r") -> str:
-    """Runs of buckets as a table `name` (id, b, len, angle)."""
+    """Runs of buckets as a table `name` (id, b, len, angle); x counts from the beginning of each run."""
+    sums = "sum(y.n) AS n, sum(y.sx + d * y.n) AS sx, sum(y.sy) AS sy, sum(y.sxy + d * y.sy) AS sxy, sum(y.sxx + 2 * d * y.sx + d * d * y.n) AS sxx"
     return (
-        f"{name} AS (SELECT id, b, len, degrees(atan((n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0))) AS angle FROM (SELECT x.id, x.b, l.len, sum(y.n) AS n, sum(y.sx) AS sx, sum(y.sy) AS sy, sum(y.sxy) AS sxy, sum(y.sxx) AS sxx, count(*) AS k "
-        f"FROM (SELECT DISTINCT id, b FROM o WHERE b >= 0 AND b < {N}) x, (SELECT unnest(range({lo}, {hi + 1})) AS len) l JOIN o y ON y.id = x.id AND y.b >= x.b AND y.b < x.b + l.len WHERE y.b < {N} GROUP BY x.id, x.b, l.len) WHERE k = len AND n > 1)"
+        f"{name} AS (SELECT id, b, len, degrees(atan((n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0))) AS angle "
+        f"FROM (SELECT y.id, y.x_b AS b, y.len, {sums}, count(*) AS k FROM (SELECT y.*, x.b AS x_b, l.len, y.ob - x.ob AS d "
+        f"FROM (SELECT id, b, ob FROM o WHERE b >= 0 AND b < {N}) x, (SELECT unnest(range({lo}, {hi + 1})) AS len) l "
+        f"JOIN o y ON y.id = x.id AND y.b >= x.b AND y.b < x.b + l.len WHERE y.b < {N}) y GROUP BY ALL) WHERE k = len AND n > 1)"
     )
 
 
 @query(f"{OLS}, {_runs(6, 6)} SELECT id, b, round(angle, 4) AS angle FROM r WHERE angle IS NOT NULL")
 def ols_angle_grid(spark: SparkSession, sf: str) -> DataFrame:
     g = patterns.grid(src.from_events(spark, sf), UNIT, ORIGIN, N)
-    return slopes.runs(g, 6, 6, N).select("id", "b", F.round("angle", 4).alias("angle"))
+    return slopes.runs(g, 6, 6).select("id", "b", F.round("angle", 4).alias("angle"))
 
 
 FACTOR, LENGTH = 4, 6
 
 
 def _interval(factor: int = FACTOR) -> str:
-    k, h = factor * LENGTH, 0.5 / factor
+    """Bounds of runs of LENGTH buckets that all hold points, empty sub-buckets passed over, as a table i; undefined ones have null ends."""
+    h = 0.5 / factor
+    ends = ", ".join(f"(sxy {e} exy) / (sxx {d})" for e in "-+" for d in ("- edn", "+ edn + eup"))
+    known = "subs > 1 AND nn > 1 AND sxx > 0"
     return (
-        f"WITH {S}, u AS (SELECT id, {b(UNIT // factor)} AS q, min(value) AS mn, max(value) AS mx, count(*) AS n, sum(value) AS sm FROM s GROUP BY ALL), st AS (SELECT id, q // {factor} AS b FROM u WHERE q % {factor} = 0), "
-        f"p AS (SELECT st.id, st.b, CAST(u.n AS DOUBLE) AS w, (u.q + 0.5) / {factor} - st.b AS m, u.sm / u.n AS y, greatest(u.mx - u.sm / u.n, u.sm / u.n - u.mn) AS d, u.sm AS sm FROM st JOIN u ON u.id = st.id AND u.q >= st.b * {factor} AND u.q < st.b * {factor} + {k}), "
-        f"a AS (SELECT id, b, sum(w * m) / sum(w) AS xm, sum(sm) / sum(w) AS ym FROM p GROUP BY ALL HAVING count(*) = {k}), "
-        f"z AS (SELECT id, b, sum(w * (m - xm) * (m - xm)) AS sxx, sum(w * (m - xm) * (y - ym)) AS sxy, sum(w * abs(y - ym) * {h} + w * 2 * {h} * d) AS exy, sum(w * abs(m - xm) * 2 * {h}) AS edn, sum(w * (2 * {h}) * (2 * {h}) + w * {h} * {h}) AS eup FROM p JOIN a USING (id, b) GROUP BY ALL), "
-        "i AS (SELECT id, b, degrees(atan(sxy / sxx)) AS est, degrees(atan(least((sxy - exy) / (sxx - edn), (sxy - exy) / (sxx + edn + eup), (sxy + exy) / (sxx - edn), (sxy + exy) / (sxx + edn + eup)))) AS lo, degrees(atan(greatest((sxy - exy) / (sxx - edn), (sxy - exy) / (sxx + edn + eup), (sxy + exy) / (sxx - edn), (sxy + exy) / (sxx + edn + eup)))) AS hi FROM z WHERE sxx - edn > 0)"
+        f"WITH {S}, u AS (SELECT id, {b(UNIT // factor)} AS q, min(value) AS mn, max(value) AS mx, count(*) AS n, sum(value) AS sm FROM s GROUP BY ALL), "
+        f"st AS (SELECT DISTINCT id, q // {factor} AS b FROM u), "
+        f"p AS (SELECT st.id, st.b, u.q, CAST(u.n AS DOUBLE) AS w, (u.q + 0.5) / {factor} - st.b AS m, u.sm / u.n AS y, "
+        "greatest(u.mx - u.sm / u.n, u.sm / u.n - u.mn) AS d, u.sm AS sm "
+        f"FROM st JOIN u ON u.id = st.id AND u.q >= st.b * {factor} AND u.q < (st.b + {LENGTH}) * {factor}), "
+        "a AS (SELECT id, b, count(*) AS subs, sum(w) AS nn, sum(w * m) / sum(w) AS xm, sum(sm) / sum(w) AS ym FROM p "
+        f"GROUP BY ALL HAVING count(DISTINCT q // {factor}) = {LENGTH}), "
+        "z AS (SELECT id, b, max(subs) AS subs, max(nn) AS nn, sum(w * (m - xm) * (m - xm)) AS sxx, sum(w * (m - xm) * (y - ym)) AS sxy, "
+        f"sum(w * abs(y - ym) * {h} + w * 2 * {h} * d) AS exy, sum(w * abs(m - xm) * 2 * {h}) AS edn, "
+        f"sum(w * (2 * {h}) * (2 * {h}) + w * {h} * {h}) AS eup FROM p JOIN a USING (id, b) GROUP BY ALL), "
+        f"i AS (SELECT id, b, CASE WHEN {known} THEN degrees(atan(sxy / sxx)) END AS est, {known} AND sxx - edn > 0 AS defined, "
+        f"CASE WHEN {known} AND sxx - edn > 0 THEN degrees(atan(least({ends}))) END AS lo, "
+        f"CASE WHEN {known} AND sxx - edn > 0 THEN degrees(atan(greatest({ends}))) END AS hi FROM z)"
     )
 
 
@@ -187,33 +202,63 @@ def _bounds(spark: SparkSession, sf: str) -> DataFrame:
     return slopes.interval(buckets.aggregate(src.from_events(spark, sf), UNIT // FACTOR, ORIGIN), FACTOR, LENGTH)
 
 
-@query(f"{_interval()} SELECT id, b, round(est, 4) AS est, round(lo, 4) AS lo, round(hi, 4) AS hi FROM i")
+@query(f"{_interval()} SELECT id, b, round(est, 4) AS est, round(lo, 4) AS lo, round(hi, 4) AS hi, defined FROM i")
 def slope_interval(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_bounds(spark, sf), 4)
 
 
-@query(f"{_interval()}, o AS (SELECT id, {b(UNIT)} AS b, {SUMS} FROM s GROUP BY ALL), {_runs(LENGTH, LENGTH)} SELECT id, count(*) AS windows, CAST(sum(CASE WHEN r.angle BETWEEN i.lo - 1e-9 AND i.hi + 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS inside FROM i JOIN r USING (id, b) GROUP BY id")
+@query(
+    f"{_interval()}, {O}, {_runs(LENGTH, LENGTH)} SELECT id, count(*) AS windows, CAST(count_if(defined) AS BIGINT) AS defined, "
+    "CAST(count_if(defined AND r.angle BETWEEN i.lo - 1e-9 AND i.hi + 1e-9) AS BIGINT) AS inside FROM i JOIN r USING (id, b) GROUP BY id"
+)
 def bound_validation(spark: SparkSession, sf: str) -> DataFrame:
-    exact = slopes.runs(patterns.grid(src.from_events(spark, sf), UNIT, ORIGIN, N), LENGTH, LENGTH, N)
-    inside = (F.col("angle") >= F.col("lo") - 1e-9) & (F.col("angle") <= F.col("hi") + 1e-9)
-    return _bounds(spark, sf).join(exact, ["id", "b"]).groupBy("id").agg(F.count("*").alias("windows"), F.sum(inside.cast("long")).alias("inside"))
+    """Exact slopes of all windows held against their bounds."""
+    exact = slopes.runs(patterns.grid(src.from_events(spark, sf), UNIT, ORIGIN, N), LENGTH, LENGTH)
+    inside = F.col("defined") & (F.col("angle") >= F.col("lo") - 1e-9) & (F.col("angle") <= F.col("hi") + 1e-9)
+    held = _bounds(spark, sf).join(exact, ["id", "b"]).groupBy("id")
+    return held.agg(F.count("*").alias("windows"), F.count_if("defined").alias("defined"), F.count_if(inside).alias("inside"))
+
+
+@query(
+    f"WITH {S}, u AS (SELECT id, {b(HOUR)} AS h, min(value) AS y0, max(value) AS y1, avg(value) AS y FROM s GROUP BY ALL), "
+    "j AS (SELECT a.id, a.h AS start, c.h - a.h AS k, c.y0, c.y1, c.y FROM u a JOIN u c ON c.id = a.id AND c.h >= a.h AND c.h < a.h + 6), "
+    "m AS (SELECT id, start, avg(k) AS xm FROM j GROUP BY ALL HAVING count(*) = 6), "
+    "v AS (SELECT id, start, sum((k - xm) * y) AS s, sum((k - xm) * CASE WHEN k > xm THEN y0 ELSE y1 END) AS lo, "
+    "sum((k - xm) * CASE WHEN k > xm THEN y1 ELSE y0 END) AS hi FROM j JOIN m USING (id, start) GROUP BY ALL) "
+    "SELECT id, count(*) AS windows, CAST(count_if(s BETWEEN lo - 1e-9 AND hi + 1e-9) AS BIGINT) AS inside FROM v GROUP BY id"
+)
+def vertex_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Slopes of the means of six hours held against the vertex bounds of their minima and maxima."""
+    t = buckets.aggregate(src.from_events(spark, sf), HOUR, ORIGIN)
+    starts = t.select("id", "b", "mn", "mx", (F.col("sm") / F.col("n")).alias("y"), F.explode(F.sequence(F.col("b") - 5, F.col("b"))).alias("start"))
+    whole = starts.groupBy("id", "start").agg(F.count("*").alias("k"), F.regr_slope("y", (F.col("b") - F.col("start")).cast("double")).alias("slope")).where("k = 6 AND start >= 0")
+    points = starts.select("id", "start", (F.col("b") - F.col("start")).cast("double").alias("x"), F.col("mn").alias("y_min"), F.col("mx").alias("y_max"))
+    held = slopes.vertex_bounds(points, "id", "start").join(whole, ["id", "start"])
+    inside = (F.col("slope") >= F.col("lo") - 1e-9) & (F.col("slope") <= F.col("hi") + 1e-9)
+    return held.groupBy("id").agg(F.count("*").alias("windows"), F.count_if(inside).alias("inside"))
 
 
 RELAXED = "least(1.0, (greatest(0.0, 20 - lo) + greatest(0.0, hi - 80)) / (hi - lo))"
 
 
-@query(f"{_interval()} SELECT id, b, round(CASE WHEN hi > lo THEN {RELAXED} ELSE 0.0 END, 6) AS overshoot FROM i WHERE hi >= 20 AND lo <= 80")
+#: Windows that may lie in [20, 80], as a table c (id, b, o): o is null where the bounds are undefined.
+CLASSED = f"c AS (SELECT id, b, CASE WHEN NOT defined THEN NULL WHEN hi > lo THEN {RELAXED} ELSE 0.0 END AS o FROM i WHERE NOT defined OR hi >= 20 AND lo <= 80)"
+
+
+@query(f"{_interval()}, {CLASSED} SELECT id, b, round(o, 6) AS overshoot, coalesce(o <= 0.5, false) AS confident FROM c")
 def pattern_relaxed_classified(spark: SparkSession, sf: str) -> DataFrame:
-    return patterns.classified(_bounds(spark, sf), 20, 80, 0.95).select("id", "b", F.round("overshoot", 6).alias("overshoot"))
+    return patterns.classified(_bounds(spark, sf), 20, 80, 0.5).select("id", "b", F.round("overshoot", 6).alias("overshoot"), "confident")
 
 
-@query(f"{_interval()} SELECT round(sum(CASE WHEN o > 0.5 THEN o ELSE 0.0 END) / count(*), 6) AS error, count(*) AS matches FROM (SELECT CASE WHEN hi > lo THEN {RELAXED} ELSE 0.0 END AS o FROM i WHERE hi >= 20 AND lo <= 80)")
+@query(
+    f"{_interval()}, {CLASSED} SELECT round(sum(CASE WHEN coalesce(o, 1.0) > 0.5 THEN coalesce(o, 1.0) ELSE 0.0 END) / count(*), 6) AS error, "
+    "CAST(count_if(coalesce(o, 1.0) <= 0.5) AS BIGINT) AS confident, CAST(count_if(coalesce(o, 1.0) > 0.5) AS BIGINT) AS ambiguous FROM c"
+)
 def decision_error(spark: SparkSession, sf: str) -> DataFrame:
-    got = patterns.classified(_bounds(spark, sf), 20, 80, 0.5)
-    return got.agg(F.round(F.sum(F.when(~F.col("confident"), F.col("overshoot")).otherwise(0.0)) / F.count("*"), 6).alias("error"), F.count("*").alias("matches"))
+    return rounded(patterns.decision_error(patterns.classified(_bounds(spark, sf), 20, 80, 0.5)))
 
 
-@query(f"WITH {S}, p AS (SELECT id, {b(DAY)} AS b, ({X} * 24) // 4 AS q, min(value) AS lo0, max(value) AS hi0 FROM s GROUP BY ALL), m AS (SELECT id, b, avg(q) AS xm FROM p GROUP BY ALL HAVING count(*) > 1), j AS (SELECT p.*, q - xm AS xc FROM p JOIN m USING (id, b)) SELECT id, b, round(sum(xc * CASE WHEN xc > 0 THEN lo0 WHEN xc < 0 THEN hi0 ELSE (lo0 + hi0) / 2 END) / sum(xc * xc), 6) AS lo, round(sum(xc * CASE WHEN xc > 0 THEN hi0 WHEN xc < 0 THEN lo0 ELSE (lo0 + hi0) / 2 END) / sum(xc * xc), 6) AS hi FROM j GROUP BY id, b".replace(f"({X} * 24) // 4", b(UNIT)))
+@query(f"WITH {S}, p AS (SELECT id, {b(DAY)} AS b, QQQ AS q, min(value) AS lo0, max(value) AS hi0 FROM s GROUP BY ALL), m AS (SELECT id, b, avg(q) AS xm FROM p GROUP BY ALL HAVING count(*) > 1), j AS (SELECT p.*, q - xm AS xc FROM p JOIN m USING (id, b)) SELECT id, b, round(sum(xc * CASE WHEN xc > 0 THEN lo0 WHEN xc < 0 THEN hi0 ELSE (lo0 + hi0) / 2 END) / sum(xc * xc), 6) AS lo, round(sum(xc * CASE WHEN xc > 0 THEN hi0 WHEN xc < 0 THEN lo0 ELSE (lo0 + hi0) / 2 END) / sum(xc * xc), 6) AS hi FROM j GROUP BY id, b".replace("QQQ", b(UNIT)))
 def vertex_slope_bounds(spark: SparkSession, sf: str) -> DataFrame:
     t = buckets.aggregate(src.from_events(spark, sf), UNIT, ORIGIN)
     pts = t.select("id", F.floor(F.col("b") / (DAY // UNIT)).cast("long").alias("b"), F.col("b").cast("double").alias("x"), F.col("mn").alias("y_min"), F.col("mx").alias("y_max"))
@@ -370,16 +415,17 @@ def _either(name: str, choices: list[list[patterns.Segment]]) -> None:
 _either("pattern_repetition", patterns.repeat(patterns.parse("2-3:20:89"), 1, 3))
 _either("pattern_group", [c + patterns.parse("2:20:89") for c in patterns.repeat(patterns.parse("2-3:20:89;2:-89:-20"), 1, 2)])
 
-NON_EMPTY = f"WITH {S}, o AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY b) - 1 AS b, * EXCLUDE (id, b) FROM (SELECT id, {b(HOUR)} AS b, {SUMS.replace(str(UNIT), str(HOUR))} FROM s GROUP BY ALL))"
+HOURLY = SUMS.replace(str(UNIT), str(HOUR))
+NON_EMPTY = f"WITH {S}, o AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY ob) - 1 AS b, ob, * EXCLUDE (id, ob) FROM (SELECT id, {b(HOUR)} AS ob, {HOURLY} FROM s GROUP BY ALL))"
 
 
 @query(_matches(UP_DOWN).replace(OLS, NON_EMPTY).replace(f"< {N}", f"< {DAYS * 24}") + f" {OUT} FROM m")
 def row_pattern_sql(spark: SparkSession, sf: str) -> DataFrame:
     sums = buckets.regression_sums(src.from_events(spark, sf), HOUR, ORIGIN)
-    return _out(patterns.row_pattern(sums, UP_DOWN, DAYS * 24))
+    return _out(patterns.row_pattern(sums, UP_DOWN))
 
 
-DOUBTFUL = f"d AS (SELECT id, greatest(b - 2, 0) AS low, least(b + {LENGTH + 2}, {N}) AS high FROM (SELECT id, b, CASE WHEN hi > lo THEN {RELAXED} ELSE 0.0 END AS o FROM i WHERE hi >= 20 AND lo <= 80) WHERE o > 0.5)"
+DOUBTFUL = f"{CLASSED}, d AS (SELECT id, greatest(b - 2, 0) AS low, least(b + {LENGTH + 2}, {N}) AS high FROM c WHERE coalesce(o, 1.0) > 0.5)"
 
 
 @query(f"{_interval()}, {DOUBTFUL}, e AS (SELECT *, CASE WHEN low <= max(high) OVER (PARTITION BY id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM d), f AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT id, CAST(min(low) AS BIGINT) AS low, CAST(max(high) AS BIGINT) AS high FROM f GROUP BY id, k")
@@ -390,12 +436,15 @@ def ambiguous_regions(spark: SparkSession, sf: str) -> DataFrame:
 ALPHAS = (2, 4, 8)
 
 
-@query(" UNION ALL ".join(f"SELECT {a} AS factor, count(*) AS windows, round(avg(hi - lo), 4) AS mean_width, round(quantile_cont(hi - lo, 0.95), 4) AS p95_width FROM ({_interval(a)} SELECT * FROM i)" for a in ALPHAS))
+WIDTH_OF = "count(*) AS windows, round(avg(hi - lo), 4) AS mean_width, round(quantile_cont(hi - lo, 0.5), 4) AS median_width, round(quantile_cont(hi - lo, 0.95), 4) AS p95_width, round(avg(CASE WHEN defined THEN 0.0 ELSE 1.0 END), 6) AS undefined"
+
+
+@query(" UNION ALL ".join(f"SELECT {a} AS factor, {WIDTH_OF} FROM ({_interval(a)} SELECT * FROM i)" for a in ALPHAS))
 def bound_width_by_alpha(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for a in ALPHAS:
-        width = F.col("hi") - F.col("lo")
-        t = slopes.interval(buckets.aggregate(src.from_events(spark, sf), UNIT // a, ORIGIN), a, LENGTH).agg(F.lit(a).alias("factor"), F.count("*").alias("windows"), F.round(F.avg(width), 4).alias("mean_width"), F.round(F.percentile(width, 0.95), 4).alias("p95_width"))
+        t = scoring.tightness(slopes.interval(buckets.aggregate(src.from_events(spark, sf), UNIT // a, ORIGIN), a, LENGTH))
+        t = t.select(F.lit(a).alias("factor"), "windows", *(F.round(c, 4).alias(c) for c in ("mean_width", "median_width", "p95_width")), F.round("undefined", 6).alias("undefined"))
         out = t if out is None else out.unionByName(t)
     return out
 
@@ -421,7 +470,7 @@ def pattern_cached_equals_exact(spark: SparkSession, sf: str) -> DataFrame:
     cache = Cache(src.from_events(spark, sf), ORIGIN, kind="regression")
     cache.aggregate("click", ORIGIN, ORIGIN + 12 * DAY, HOUR)
     sums = cache.aggregate("click", ORIGIN, ORIGIN + DAYS * DAY, UNIT)
-    return _out(patterns.matches(buckets.dense(sums, N), UP_DOWN, N))
+    return _out(patterns.matches(sums, UP_DOWN, N))
 
 
 @query("SELECT CAST(0.375 AS DOUBLE) AS hit_ratio")
@@ -452,7 +501,10 @@ def method_cost_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scoring.cost_summary(e.select(F.col("event_type").alias("method"), (F.col("user_id") % 5).alias("run"), F.col("value").alias("seconds"))), 4)
 
 
-@query(f"{_interval()}, c AS (SELECT CASE WHEN hi > lo THEN {RELAXED} ELSE 0.0 END AS o FROM i WHERE hi >= 20 AND lo <= 80), k AS (SELECT unnest(range(0, 11)) / 10.0 AS threshold) SELECT CAST(threshold AS DOUBLE) AS threshold, round(avg(CASE WHEN o <= threshold THEN 1.0 WHEN o > threshold THEN 0.0 END), 6) AS covered, round(avg(CASE WHEN o <= threshold THEN o END), 6) AS risk FROM k LEFT JOIN c ON true GROUP BY threshold")
+@query(
+    f"{_interval()}, {CLASSED}, k AS (SELECT unnest(range(0, 11)) / 10.0 AS threshold) SELECT CAST(threshold AS DOUBLE) AS threshold, "
+    "round(avg(CASE WHEN o <= threshold THEN 1.0 ELSE 0.0 END), 6) AS covered, round(avg(CASE WHEN o <= threshold THEN o END), 6) AS risk FROM k, c GROUP BY threshold"
+)
 def risk_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scoring.risk_coverage(patterns.classified(_bounds(spark, sf), 20, 80, 0.5)))
 

@@ -53,6 +53,19 @@ class Interval:
     def encloses(self, other: Interval) -> bool:
         return self.low <= other.low and other.high <= self.high
 
+    def adjacent(self, other: Interval) -> bool:
+        """One ends where the other begins."""
+        return self.high == other.low or other.high == self.low
+
+    def span(self, other: Interval) -> Interval:
+        """The smallest interval that holds both."""
+        return Interval(min(self.low, other.low), max(self.high, other.high))
+
+    def share(self, other: Interval) -> float:
+        """The part of this interval that the other covers; 0 for an empty one."""
+        both = min(self.high, other.high) - max(self.low, other.low)
+        return max(0, both) / (self.high - self.low) if self.high > self.low else 0.0
+
     def holds(self) -> Column:
         """Also says so of the timestamp column itself, which the file reader can use."""
         ms = F.col("ts_ms")
@@ -60,6 +73,13 @@ class Interval:
         return (ms >= self.low) & (ms < self.high) & (F.col("ts").cast("timestamp") >= at(self.low)) & (F.col("ts").cast("timestamp") < at(self.high))
 
 
+def within(series: DataFrame, low: int, high: int) -> DataFrame:
+    """Points of [low, high); where the series has its timestamp column, the file reader gets the range too."""
+    if "ts" in series.columns:
+        return series.where(Interval(low, high).holds())
+    return series.where((F.col("ts_ms") >= low) & (F.col("ts_ms") < high))
+
+
 def scan(series: DataFrame, wanted: dict[str, Sequence[Interval]]) -> DataFrame:
     """Points of measures in intervals, by one filter; a point in two intervals comes once."""
     terms = [(F.col("id") == m) & i.holds() for m, intervals in wanted.items() for i in intervals]
