@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import patterns
+
 
 def islands(df: DataFrame, new: Column, name: str, *order: str) -> DataFrame:
     """df with the running number of the stretch of rows, by id, that a true `new` begins."""
@@ -27,10 +29,24 @@ def rises_and_falls(table: DataFrame, least: float) -> DataFrame:
     return t.groupBy("id", "k").agg(F.min("b").alias("b"), F.max("to").alias("to"), F.first("rises").alias("rises")).select("id", "b", "to", "rises")
 
 
-def shapes(table: DataFrame, least: float) -> DataFrame:
-    """(id, b, to, shape) at each stretch: double_peak (rise, fall, rise, fall) before triangle (rise, fall); v_shape (fall, rise)."""
+#: Runs of a shape, the longest first; those of two or four begin with a rise, but for the valley.
+RUNS = (("sawtooth", 8), ("double_peak", 4), ("triangle", 2))
+
+
+def candidates(table: DataFrame, least: float) -> DataFrame:
+    """(id, b, to, shape) at each stretch: the longest shape that begins with it; a fall begins a v_shape only."""
     by = Window.partitionBy("id").orderBy("b")
-    end = lambda k: F.lead("to", k).over(by)
-    t = rises_and_falls(table, least).select("id", "b", "rises", end(1).alias("two"), end(3).alias("four"))
-    shape = F.when(F.col("rises") & F.col("four").isNotNull(), "double_peak").when(F.col("rises"), "triangle").otherwise("v_shape")
-    return t.where("two IS NOT NULL").select("id", "b", F.when(F.col("rises"), F.coalesce("four", "two")).otherwise(F.col("two")).alias("to"), shape.alias("shape"))
+    end = lambda k: F.lead("to", k - 1).over(by)
+    t = rises_and_falls(table, least).select("id", "b", "rises", *(end(k).alias(name) for name, k in RUNS))
+    shape = F.when(~F.col("rises"), "v_shape").when(F.col("sawtooth").isNotNull(), "sawtooth").when(F.col("double_peak").isNotNull(), "double_peak").otherwise("triangle")
+    to = F.when(shape == "sawtooth", F.col("sawtooth")).when(shape == "double_peak", F.col("double_peak")).otherwise(F.col("triangle"))
+    return t.where("triangle IS NOT NULL").select("id", "b", to.alias("to"), shape.alias("shape"))
+
+
+def shapes(table: DataFrame, least: float) -> DataFrame:
+    """(id, b, to, shape): candidates() taken from the left without overlap; a shape may begin where the one before ends.
+
+    Stretches alternate, so each candidate skips a fixed number of them: which
+    are taken follows from one walk over an id's stretches.
+    """
+    return patterns.without_overlap(candidates(table, least))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeunits import DAY, HOUR, MINUTE, align, group_intervals, snap_down, snap_up
+from tidemark.functions.timeunits import DAY, HOUR, align
 from tidemark.operators import buckets, patterns, shapes, slopes, visual
 from tidemark.plans import scoring, workload
-from tidemark.plans.coverage import Cache, Span, coverage, prefetch
+from tidemark.plans.coverage import Cache
 from tidemark.sources import series as src
 from tidemark.streaming import rollup
 
@@ -383,24 +383,11 @@ def per_measure_intervals(spark: SparkSession, sf: str) -> DataFrame:
 def cached_equals_exact(spark: SparkSession, sf: str) -> DataFrame:
     """The second of two overlapping requests, answered in part by what the first, at narrower buckets, has left."""
     cache = Cache(src.from_events(spark, sf), ORIGIN)
-    cache.aggregate("click", ORIGIN, ORIGIN + 12 * DAY, HOUR)
+    cache.aggregate("click", ORIGIN, ORIGIN + 12 * DAY, HOUR).count()
     t = cache.aggregate("click", ORIGIN, ORIGIN + 20 * DAY, UNIT)
     return t.withColumn("sm", F.round("sm", 6))
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(40 AS BIGINT)), (100, 130)) t(low, high)")
-def group_intervals_demo(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(group_intervals([(100, 110), (0, 10), (15, 40), (112, 130)], 10), "low bigint, high bigint")
-
-
-@query("SELECT * FROM (VALUES (CAST(10 AS BIGINT), CAST(0 AS BIGINT), CAST(50 AS BIGINT)), (20, 50, 100), (5, 100, 120), (0, 120, 150)) t(width, low, high)")
-def coverage_coarsest(spark: SparkSession, sf: str) -> DataFrame:
-    spans = [Span("m", 20, 50, 100), Span("m", 10, 0, 80), Span("m", 5, 0, 120), Span("m", 7, 0, 150), Span("n", 20, 0, 150)]
-    taken, missing = coverage(spans, "m", 0, 150, 20)
-    rows = [(s.width, a, z) for s, a, z in taken] + [(0, a, z) for a, z in missing]
-    return spark.createDataFrame(rows, "width bigint, low bigint, high bigint")
-
-
 EIGHT = patterns.parse(";".join(["2:10:89", "2:-89:-10"] * 4))
 _pattern("pattern_eight_seg", EIGHT, "longest")
 
@@ -449,14 +436,6 @@ def bound_width_by_alpha(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-WIDTHS = (7 * MINUTE, 13 * HOUR, 90 * MINUTE, DAY, 3)
-
-
-@query("SELECT * FROM (VALUES (CAST(420000 AS BIGINT), CAST(360000 AS BIGINT), CAST(600000 AS BIGINT)), (46800000, 43200000, 86400000), (5400000, 3600000, 7200000), (86400000, 86400000, 86400000), (3, 2, 4)) t(width, down, up)")
-def calendar_snap(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(w, snap_down(w), snap_up(w)) for w in WIDTHS], "width bigint, down bigint, up bigint")
-
-
 @query(f"WITH {S} SELECT id, min(ts_ms) // {UNIT} * {UNIT} AS low, (max(ts_ms) // {UNIT} + 1) * {UNIT} AS high FROM s GROUP BY id")
 def align_bounds(spark: SparkSession, sf: str) -> DataFrame:
     # One row for each id.
@@ -473,17 +452,17 @@ def pattern_cached_equals_exact(spark: SparkSession, sf: str) -> DataFrame:
     return _out(patterns.matches(sums, UP_DOWN, N))
 
 
-@query("SELECT CAST(0.375 AS DOUBLE) AS hit_ratio")
+@query(f"WITH {S}, r AS (SELECT id, min(ts_ms) // {DAY} * {DAY} AS low FROM s GROUP BY id), a AS (SELECT id, low + 12 * {DAY} AS kept, low + 20 * {DAY} AS high, low FROM r) SELECT id, round((kept - low) / (kept - low + high - low), 6) AS hit_ratio FROM a")
 def cache_hit_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    cache = Cache(src.from_events(spark, sf), ORIGIN)
-    cache.aggregate("click", ORIGIN, ORIGIN + 12 * DAY, HOUR)
-    cache.aggregate("click", ORIGIN, ORIGIN + 20 * DAY, UNIT)
-    return spark.createDataFrame([(cache.hit_ratio,)], "hit_ratio double")
-
-
-@query("SELECT * FROM (VALUES (CAST(50 AS BIGINT), CAST(100 AS BIGINT)), (200, 230)) t(low, high)")
-def prefetch_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(prefetch(100, 200, 1.0, 0, 230), "low bigint, high bigint")
+    """Twenty days asked after twelve were kept, from the first day of each measure."""
+    s, rows = src.from_events(spark, sf), []
+    for r in src.metadata(s).collect():  # a row for each measure
+        low = r["first_ms"] // DAY * DAY
+        with Cache(s, ORIGIN) as cache:
+            cache.aggregate(r["id"], low, low + 12 * DAY, HOUR).count()
+            cache.aggregate(r["id"], low, low + 20 * DAY, UNIT).count()
+            rows.append((r["id"], cache.hit_ratio))
+    return rounded(spark.createDataFrame(rows, "id string, hit_ratio double"))
 
 
 @query()
@@ -495,10 +474,15 @@ def match_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scoring.precision_recall(scoring.match_scores(truth, sure, 1)))
 
 
-@query(f"WITH c AS (SELECT event_type AS method, user_id % 5 AS run, value AS seconds FROM events), r AS (SELECT method, avg(s) AS total FROM (SELECT method, run, sum(seconds) AS s FROM c GROUP BY ALL) GROUP BY method) SELECT method, count(*) AS queries, round(max(total), 4) AS total, round(avg(seconds), 4) AS mean, round(quantile_cont(seconds, 0.95), 4) AS p95 FROM c JOIN r USING (method) GROUP BY method")
+@query(
+    "WITH c AS (SELECT event_type AS method, user_id % 5 AS run, value AS seconds, CASE WHEN user_id % 9 = 0 THEN -1 ELSE user_id END AS cache_bytes FROM events), "
+    "r AS (SELECT method, run, count(*) AS queries, sum(seconds) AS total, avg(seconds) AS mean, quantile_cont(seconds, 0.95) AS p95, max(CASE WHEN cache_bytes >= 0 THEN cache_bytes END) AS cache_bytes FROM c GROUP BY ALL) "
+    "SELECT method, count(*) AS runs, round(avg(queries), 4) AS queries, round(avg(total), 4) AS total, round(avg(mean), 4) AS mean, round(avg(p95), 4) AS p95, max(cache_bytes) AS cache_bytes FROM r GROUP BY method"
+)
 def method_cost_summary(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    return rounded(scoring.cost_summary(e.select(F.col("event_type").alias("method"), (F.col("user_id") % 5).alias("run"), F.col("value").alias("seconds"))), 4)
+    e, u = spark.read.parquet(f"{sf}/events.parquet"), F.col("user_id")
+    known = F.when(u % 9 == 0, -1).otherwise(u).alias("cache_bytes")
+    return rounded(scoring.cost_summary(e.select(F.col("event_type").alias("method"), (u % 5).alias("run"), F.col("value").alias("seconds"), known)), 4)
 
 
 @query(
@@ -510,25 +494,19 @@ def risk_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {S}, a AS (SELECT id, {b(UNIT)} AS b, avg(value) AS y FROM s GROUP BY ALL), t AS (SELECT id, b, avg(y) OVER (PARTITION BY id ORDER BY b ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS y FROM a), u AS (SELECT id, b, y, lead(y) OVER w AS y2, lead(b) OVER w AS b2 FROM t WINDOW w AS (PARTITION BY id ORDER BY b)), "
+    f"WITH RECURSIVE {S}, a AS (SELECT id, {b(UNIT)} AS b, avg(value) AS y FROM s GROUP BY ALL), t AS (SELECT id, b, avg(y) OVER (PARTITION BY id ORDER BY b ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS y FROM a), u AS (SELECT id, b, y, lead(y) OVER w AS y2, lead(b) OVER w AS b2 FROM t WINDOW w AS (PARTITION BY id ORDER BY b)), "
     "r AS (SELECT *, y2 > y AS rises FROM u WHERE y2 <> y), g AS (SELECT *, CASE WHEN lag(rises) OVER w = rises THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY id ORDER BY b)), h AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY b) AS g FROM g), "
     "i AS (SELECT id, min(b) AS b, max(b2) AS z, any_value(rises) AS rises FROM h GROUP BY id, g HAVING abs(sum(y2 - y)) >= 10), j AS (SELECT *, CASE WHEN lag(rises) OVER w = rises THEN 0 ELSE 1 END AS new FROM i WINDOW w AS (PARTITION BY id ORDER BY b)), k AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY b) AS g FROM j), "
-    "l AS (SELECT id, min(b) AS b, max(z) AS z, any_value(rises) AS rises FROM k GROUP BY id, g), p AS (SELECT id, b, rises, lead(z) OVER w AS two, lead(z, 3) OVER w AS four FROM l WINDOW w AS (PARTITION BY id ORDER BY b)) "
-    "SELECT id, b, CASE WHEN rises THEN coalesce(four, two) ELSE two END AS z, CASE WHEN rises AND four IS NOT NULL THEN 'double_peak' WHEN rises THEN 'triangle' ELSE 'v_shape' END AS shape FROM p WHERE two IS NOT NULL"
+    "l AS (SELECT id, min(b) AS b, max(z) AS z, any_value(rises) AS rises FROM k GROUP BY id, g), p AS (SELECT id, b, rises, lead(z) OVER w AS two, lead(z, 3) OVER w AS four, lead(z, 7) OVER w AS eight FROM l WINDOW w AS (PARTITION BY id ORDER BY b)), "
+    "c AS (SELECT id, b, CASE WHEN rises AND eight IS NOT NULL THEN eight WHEN rises THEN coalesce(four, two) ELSE two END AS z, "
+    "CASE WHEN NOT rises THEN 'v_shape' WHEN eight IS NOT NULL THEN 'sawtooth' WHEN four IS NOT NULL THEN 'double_peak' ELSE 'triangle' END AS shape FROM p WHERE two IS NOT NULL), "
+    "w AS (SELECT id, b, z, shape FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY b) AS r FROM c) WHERE r = 1 "
+    "UNION ALL SELECT c.id, c.b, c.z, c.shape FROM w, LATERAL (SELECT * FROM c WHERE c.id = w.id AND c.b >= w.z ORDER BY c.b LIMIT 1) c) SELECT * FROM w"
 )
 def shape_detector(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.shapes(buckets.aggregate(src.from_events(spark, sf), UNIT, ORIGIN), 10).withColumnRenamed("to", "z")
 
 
-LINES = ["1000,5000,a,b,0,1000,600,0.95,visual,zoomIn", "2000,9000,a,b,1|2,800,400,0.9,pattern,custom,4 HOURS,6:20:89", "broken,line"]
-
-
-@query("SELECT * FROM (VALUES (CAST(1000 AS BIGINT), CAST(5000 AS BIGINT), '0', 1000, 600, CAST(0.95 AS DOUBLE), 'visual', 'zoomIn', NULL), (2000, 9000, '1+2', 800, 400, 0.9, 'pattern', 'custom', '6:20:89')) t(low, high, measures, width, height, accuracy, kind, name, segments)")
-def workload_parse(spark: SparkSession, sf: str) -> DataFrame:
-    t = workload.parse(spark.createDataFrame([(x,) for x in LINES], "value string"))
-    return t.withColumn("measures", F.array_join("measures", "+"))
-
-
 @query(f"WITH {S} SELECT id, {b(UNIT)} AS b, {AGG} FROM s GROUP BY ALL")
 def stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
     path = rollup.fresh(spark)
