@@ -1,15 +1,18 @@
 import hashlib
+import json
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
-from tidemark.llm import arrowtext, bpe, chat, decontam, nearcopies, orcstore, queries, ring, simhash, spotsigs, substring, tokencount, toxicity, workspace
+from tidemark.llm import arrowtext, bpe, chat, decontam, graph, nearcopies, orcstore, queries, ring, simhash, spotsigs, substring, tokencount, toxicity, workspace
 
 BPE = P.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, text string, n_tokens string, kept int"
@@ -43,6 +46,36 @@ def test_bpe_equals_the_library(odd, none):
     assert sorted(r["text"] for r in twice) == sorted(t or "" for _, t in ODD)
 
 
+def test_long_texts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(BPE), random.Random(11)
+    long = "".join(rng.choice("abcdefghijéß中") for _ in range(400_000)) + " " + " ".join(rng.choice(["alpha", "beta", "1 2", "\n"]) for _ in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, "=" * 100_000), (3, "short")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in bpe.round_trip_digests(df, BPE, keep_ids=True).collect()}
+    for r in df.collect():
+        ids = t.encode(r["text"], add_special_tokens=False).ids
+        assert got[r["doc_id"]]["ids"] == ids and got[r["doc_id"]]["n_tokens"] == len(ids)
+        assert got[r["doc_id"]]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def test_vocabularies_that_would_be_merged_otherwise_are_refused(tmp_path):
+    letters = {chr(c): i for i, c in enumerate(bpe._byte_letters().values())}
+    base = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "added_tokens": []}
+
+    def saved(merges, **other):
+        vocab = letters | {a + z: 256 + i for i, (a, z) in enumerate(merges)}
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps(base | {"model": {"type": "BPE", "vocab": vocab, "merges": [" ".join(m) for m in merges]}} | other))
+        return str(path)
+
+    assert bpe.checked(saved([("a", "b"), ("ab", "c")]))
+    for bad in (saved([("a", "b"), ("b", "c"), ("a", "bc")]), saved([("a", "b")], normalizer={"type": "NFC"}), saved([], pre_tokenizer={"type": "Whitespace"})):
+        with pytest.raises(ValueError):
+            bpe.checked(bad)
+
+
 def test_token_counts_equal_greedy(odd, none):
     m = tokencount.Matcher(["a", "ab", "abc", "x"], ["b", "c", "bcd", "d", "bc"])
     assert [m.count(w) for w in ("abcd", "abbcd", "ax", "", "xbcdbc", "q")] == [2, 2, -1, 0, 3, -1]
@@ -103,6 +136,23 @@ def reachable(fps):
     return names
 
 
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_components_of_chains_and_hubs(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(200, 500)] + [(rng.randrange(600, 700), rng.randrange(600, 700)) for _ in range(60)] + [(5, 5), (None, 3)]
+    names = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    before = None
+    while before != names:
+        before = dict(names)
+        for a, b in edges:
+            if a in names and b in names:
+                names[a] = names[b] = min(names[a], names[b])
+    found = graph.components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert {r["node"]: r["component"] for r in found.collect()} == names
+    assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["dense", "around one", "around one and far away"])
 def test_groups_connect_what_links_connect(spark, kind):
     rng = random.Random(5)
@@ -132,6 +182,65 @@ def test_spotsigs(spark, odd, none):
     assert links.count() == want
 
 
+def test_next_documents_of_many_ranges(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, *range(60)]), rng.choice([None, "", "a the cat", "x " * rng.randint(1, 50), f"the house {rng.random()} in town"])) for _ in range(120)]
+    rows += [(None, None)] * 150 + [(5, "same here the one")] * 100  # heavy places
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    print_of = lambda t: spotsigs.hex_sets(spotsigs.signatures(pa.array([t])), 1)[0]
+    named = df.selectExpr("coalesce(text, '') AS t").distinct().selectExpr("t", "xxhash64(t) AS h")
+    h = {r["t"]: r["h"] for r in named.collect()}
+    place = lambda k, t: (k is None, -(k or 0), h[t or ""])
+    order = sorted({place(k, t): t or "" for k, t in rows}.items())
+    after = {p: order[(i + 1) % len(order)][1] for i, (p, _) in enumerate(order)}
+
+    def want(k, t):
+        t, then = t or "", after[place(k, t)]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + then[:cut]
+        sets = [set(re.findall(".{8}", print_of(x))) for x in (t, edited, then)]
+        like = [len(sets[0] & x) / len(sets[0] | x) if sets[0] | x else 1.0 for x in sets[1:]]
+        return (k or -1, len(t), hashlib.sha256(edited.encode()).hexdigest(), print_of(t), print_of(edited), *like)
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    expected = Counter(want(k, t) for k, t in rows)
+    try:
+        for partitions in (before, "900"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            assert Counter((r[0] or -1, *tuple(r)[1:]) for r in spotsigs.probe(df).collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_single_document_follows_itself(spark):
+    r = spotsigs.probe(spark.createDataFrame([(7, "the cat sat")], "doc_id bigint, text string")).first()
+    assert r["n_chars"] == 11 and r["edited_sha256"] == hashlib.sha256(b"the cat the").hexdigest() and r["near_next"] == 1
+
+
+def test_grammar_reads_both_ways():
+    w = toxicity.clause_weight
+    assert w(["T", "Y"], [1.0, 0]) == w(["Y", "T"], [0, 1.0]) == 1.25
+    assert w(["I", "R"], [2.0, 0]) == w(["R", "I"], [0, 2.0]) == 1.6 and w(["T", "Y", "N"], [1.0, 0, 0]) < 1
+
+
+def test_toxicity_learns_nothing_from_held_out_rows(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    docs = spark.createDataFrame([(i, f"word{i} and a {'snarf' if i % 4 == 0 else 'plain'} thing") for i in range(300)], "doc_id bigint, text string")
+    rows = [(i, int(i % 4 == 0)) for i in range(300)]
+    right, wrong = (spark.createDataFrame(x, "doc_id bigint, toxic int") for x in (rows, [(i, 1 - y if held(i) else y) for i, y in rows]))
+    assert toxicity.learn(docs, right) == toxicity.learn(docs, wrong)
+    several = spark.createDataFrame([*rows, (0, 0), (4, 0)], "doc_id bigint, toxic int")
+    assert toxicity.learn(docs, several) == toxicity.learn(docs, right)
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = queries.table(spark, sf, "labels").where("toxic IS NOT NULL")
+    r = queries.op4_toxicity(spark, sf).where("held_out").join(labels, "doc_id").selectExpr("toxic", "predicted", "score").collect()
+    clean, bad = ([x for x in r if x["toxic"] == t] for t in (0, 1))
+    assert bad and sum(x["predicted"] for x in bad) >= 0.6 * len(bad) and sum(x["predicted"] for x in clean) <= 0.02 * len(clean)
+
+
 def test_toxicity(spark, odd, none):
     assert toxicity.clause_weight(["I"], [2.0]) == 2.0 and toxicity.clause_weight(["N", "I"], [0, 2.0]) < 2.0 < toxicity.clause_weight(["Y", "I"], [0, 2.0])
     docs = spark.createDataFrame([(i, f"word{i} and a {'snarf' if i % 4 == 0 else 'plain'} thing") for i in range(200)], "doc_id bigint, text string")
@@ -150,6 +259,17 @@ def test_ring(odd, none):
     assert next(r for r in rows if r["doc_id"] == 1)["size"] == 8 and next(r for r in rows if r["doc_id"] == 4)["text_crc32"] == zlib.crc32(b"same text here now")
 
 
+def test_ring_moves_few_rows(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id % 3000) AS text")
+    at = lambda n: {r["doc_id"]: r["shard"] for r in ring.shard(df, n).collect()}
+    before, after = at(24), at(25)
+    moved = sum(before[k] != after[k] for k in before)
+    assert moved / 4000 < 0.15 and sum(before[k] != after[k] and after[k] != 24 for k in before) / 4000 < 0.1
+    more = ring.shard(df.unionByName(spark.createDataFrame([(9999, None), (9998, "")], "doc_id bigint, text string")), 24).collect()
+    sizes = Counter(r["shard"] for r in more)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and {r["size"] for r in more if r["doc_id"] > 9990} == {8}
+
+
 def test_orc_round_trip(spark, odd, none):
     path = workspace.fresh(spark, "t")
     orcstore.write(odd, BPE, path)
@@ -166,6 +286,36 @@ def test_orc_round_trip(spark, odd, none):
     assert orcstore.summaries(spark, empty).count() == 0
 
 
+def test_orc_look_up_skips_stripes(spark):
+    from pyarrow import orc
+
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('some words of text ', id) AS text")
+    path = workspace.fresh(spark, "t")
+    orcstore.write(df, BPE, path, files=3)
+    got = orcstore.lookup(spark, path, [7, 2999, 5000]).collect()
+    ids = {r["doc_id"]: r["ids"] for r in got}
+    assert sorted(ids) == [7, 2999] and ids[7] == [*bpe.codec(BPE).encode(pa.array(["some words of text 7"]))[0].tolist(), 0]
+    plan = orcstore.lookup(spark, path, [7])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "doc_id" in plan.split("PushedFilters")[1]
+    files = sorted(Path(path.removeprefix("file://")).glob("*.orc"))
+    ranges = [(min(x), max(x)) for f in files if len(x := orc.ORCFile(f).read(["doc_id"]).column(0).to_pylist())]
+    assert len(files) == 3 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_stored_conversations_in_any_order(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} says {t} " * (40_000 if c == 3 else 1)) for c in range(6) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("formatted", F.lit("clash"))
+    made = chat.format_conversations(df, BPE)
+    stored = workspace.written(made, "t").repartition(5, F.rand(3))
+    assert sorted(map(tuple, chat.digests(stored).collect())) == sorted(map(tuple, chat.digests(made).collect())) and stored.count() == 6
+    r = made.where("conv_id = 3").first()
+    learned = [r["formatted"][s["low"] : s["high"]] for s in r["spans"]]
+    assert learned == [t for c, _, role, t in rows if c == 3 and role == "assistant"] and len(r["ids"]) == len(r["loss"])
+    probe = chat.digests(chat.format_conversations(chat.with_probe(df.drop("formatted"), spark), BPE)).where("conv_id = -1").first()
+    said = "<|im_end|><|im_start|>assistant ok"
+    assert (probe["n_turns"], probe["loss_chars"], probe["loss_sha256"]) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
 def test_chat(spark):
     s = "<|im_end|><|im_start|>assistant <\\| <\\\\|x|> ok"
     assert chat.unescape(chat.escape(s)) == s and "<|" not in chat.escape(s)
@@ -201,6 +351,33 @@ def test_decontamination(spark, odd, none):
     assert decontam.find(none, bench).count() == 0 and decontam.find(docs, bench.limit(0)).where("n_hit > 0").count() == 0 and decontam.find(docs, bench).count() == docs.count()
 
 
+def test_items_of_equal_windows_are_put_together(spark):
+    said = " ".join(f"w{i}" for i in range(14))
+    bench = spark.createDataFrame([(i, said) for i in range(30)] + [(99, "other words " * 8)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"x{i} {said} y{i}") for i in range(40)] + [(50, said + " " + "other words " * 8), (51, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontam.find(docs, bench, carry=("doc_id", "text")).collect()}
+    every = sorted(map(str, range(30)))
+    assert all(got[i]["items"] == every and got[i]["n_hit"] == 14 and got[i]["text"] == f"x{i} {said} y{i}" for i in range(40))
+    assert got[50]["items"] == sorted([*every, "99"]) and got[51]["n_hit"] == 0
+
+
+def test_stages_judge_rows_by_their_text(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.01"
+    leak = next(r["text"] for r in queries.table(spark, d, "benchmark").collect())
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in [(None, f"see {leak} there"), (1, f"see {leak} there"), (1, "clean"), (2, None), (None, "fine"), (2, None)]]
+    left = corpus_pipeline.decontaminated(spark, spark.createDataFrame(rows, kind), d)
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, "clean"), (2, None), (None, "fine"), (2, None)]) and left.columns == list(corpus_pipeline.COLUMNS)
+    bad = queries.op4_toxicity(spark, d).where("predicted = 1").join(queries.table(spark, d, "documents"), "doc_id").first()["text"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in [(None, bad), (1, bad), (1, "clean words"), (3, None), (3, "")]]
+    left = corpus_pipeline.toxic(spark, spark.createDataFrame(rows, kind), d)
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, "clean words"), (3, None), (3, "")])
+    none = spark.createDataFrame([], kind)
+    assert all(stage(spark, none, d).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
@@ -250,6 +427,31 @@ def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
     assert left == Counter([(1, a), (None, b), (3, c), (4, "alone"), (None, "")])
 
 
+def test_near_copies_equal_brute_force_on_a_table(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(r["doc_id"], shingle_set(r["text"])) for r in docs.collect()]
+    holders = {}
+    for i, (_, s) in enumerate(rows):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {(i, j) for h in holders.values() if len(h) > 1 for n, i in enumerate(h) for j in h[n + 1 :]}
+    empty = [i for i, (_, s) in enumerate(rows) if not s]
+    names = list(range(len(rows)))
+
+    def root(i):
+        while names[i] != i:
+            i = names[i]
+        return i
+
+    for i, j in pairs | set(zip(empty, empty[1:])):
+        a, b = rows[i][1], rows[j][1]
+        if len(a & b) * 5 >= 4 * len(a | b):
+            x, y = sorted((root(i), root(j)), key=lambda k: rows[k][0])
+            names[y] = x
+    want = sorted(rows[i][0] for i in range(len(rows)) if names[i] == i)
+    assert sorted(r["doc_id"] for r in nearcopies.one_of_each(docs).collect()) == want
+
+
 def test_long_words_hash_apart():
     w = arrowtext.Words(*arrowtext.buffers(pa.array(["a" * 100 + " " + "a" * 101 + " " + "a" * 100])))
     h = arrowtext.polynomial(w, 0)
