@@ -182,6 +182,25 @@ def test_spotsigs(spark, odd, none):
     assert links.count() == want
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.8])
+def test_similar_pairs_equal_brute_force(spark, threshold):
+    rng = random.Random(12)
+    base = [[f"{rng.getrandbits(32):08x}" for _ in range(60)] for _ in range(4)]
+    sets = [set(base[i % 4][: rng.randint(20, 60)]) | {f"{rng.getrandbits(32):08x}" for _ in range(rng.randint(0, 12))} for i in range(150)]
+    sets += [set(base[0]), set(base[0]), set(), set()]  # equal ones and empty ones
+    rows = [(i, "".join(sorted(s))) for i, s in enumerate(sets)] + [(None, "")]
+    links, members = spotsigs.similar_pairs(spark.createDataFrame(rows, "doc_id bigint, fingerprint string"), threshold)
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(frozenset(s), i)
+    kept = sorted(first.values())
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] and sets[b] else 0
+    want = {(a, b): like(a, b) for a in kept for b in kept if a < b and like(a, b) >= threshold}
+    got = {tuple(sorted((r["a"], r["b"]))): r["likeness"] for r in links.collect()}
+    assert want and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert {r["doc_id"]: r["representative"] for r in members.collect()} == {i: first[frozenset(s)] for i, s in enumerate(sets)} | {None: first[frozenset()]}
+
+
 def test_next_documents_of_many_ranges(spark):
     rng = random.Random(1)
     rows = [(rng.choice([None, *range(60)]), rng.choice([None, "", "a the cat", "x " * rng.randint(1, 50), f"the house {rng.random()} in town"])) for _ in range(120)]

@@ -9,8 +9,8 @@ fingerprints is the Jaccard similarity of the sets; two empty ones are alike.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from fractions import Fraction
 from hashlib import sha256
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrowtext, workspace
+from tidemark.llm import arrowtext, setjoin, workspace
 
 CHAIN = 3
 
@@ -111,25 +111,22 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     """(links (a, b, likeness) between class representatives, membership (key, representative)).
 
     Rows with equal fingerprints are a class, named by its smallest key.
-    Classes are partitioned by set length: a set of n is only compared with
-    sets of threshold*n to n.  Candidates share one of the first
-    n - ceil(threshold*n) + 1 signatures in ascending order, without which a
-    pair can't reach the threshold; survivors are compared exactly.
+    Classes are partitioned by bands of set length and meet by their rarest
+    signatures, as far as the threshold makes them a must (setjoin.rare_pairs);
+    what meets is compared exactly.  Empty fingerprints are a class without
+    links; a class of null keys only has a null name.
     """
-    classes = prints.groupBy("fingerprint").agg(F.min(key).alias("rep"))
-    members = prints.join(classes, "fingerprint").select(key, F.col("rep").alias("representative"))
+    least = Fraction(threshold).limit_denominator(1000)
+    classes = prints.groupBy("fingerprint").agg(F.min(key).alias("rep"), F.count("*").alias("rows"))
+    classes = workspace.written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    members = workspace.lookup(prints.select(key, "fingerprint"), classes.drop("cls"), ["fingerprint"], "rows", prints.count()).select(key, F.col("rep").alias("representative"))
     n = (F.length("fingerprint") / 8).cast("int")
-    sets = classes.where("fingerprint <> ''").select("rep", n.alias("n"), F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("fingerprint", i * 8 + 1, F.lit(8))).alias("s"))
-    band = math.log(1 / threshold)
-    prefix = F.slice("s", 1, F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1)
-    index = sets.select("rep", "n", F.explode(prefix).alias("sig"), F.floor(F.log("n") / band).alias("band"))
-    left = index.withColumnRenamed("rep", "a").withColumnRenamed("n", "na")
-    right = index.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "sig", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    close = (F.col("nb") <= F.col("na")) & (F.col("nb") >= F.col("na") * threshold) & ((F.col("nb") < F.col("na")) | (F.col("b") < F.col("a")))
-    pairs = left.join(right, ["sig", "band"]).where(close).select("a", "b").distinct()
-    x, y = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
-    same = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(x, "a").join(y, "b").select("a", "b", (same / (F.size("sa") + F.size("sb") - same)).alias("likeness")).where(F.col("likeness") >= threshold)
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substr("fingerprint", i * 8 + 1, F.lit(8)), 16, 10).cast("bigint"))
+    sets = workspace.written(classes.where("fingerprint <> ''").select("cls", each.alias("elements")), "sets")
+    pairs = setjoin.rare_pairs(sets.select("cls", F.col("cls").alias("part"), F.size("elements").cast("long").alias("n")), sets, (least.numerator, least.denominator))
+    links = setjoin.checked(workspace.written(pairs, "pairs"), sets, (least.numerator, least.denominator))
+    one, other = (classes.select(F.col("cls").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab")
+    links = links.join(one, "a").join(other, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "likeness")
     return links, members
 
 
