@@ -3,13 +3,16 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
-from tidemark import registry
+from tidemark import registry, registry_engine  # noqa: F401
 from tidemark.functions import timeunits
-from tidemark.operators import patterns, slopes
+from tidemark.operators import buckets, patterns, pixels, slopes
 from tidemark.plans import scoring, workload
-from tidemark.plans.coverage import Span, coverage
+from tidemark.plans.coverage import Cache, Span, coverage, evictions, view_coverage
+from tidemark.plans.engine import Engine, PatternQuery, View, run
+from tidemark.sources import catalog, series
 from tidemark.streaming import rollup
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +23,16 @@ def rows(df):
     return sorted((tuple(map(clean, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", ["dataset_metadata", "m4_timestamps", "rollup_m4", "rollup_minmax", "hash_rank_sample", "bucket_mean_dense", "pattern_exact_two_seg", "pattern_var_length", "pixel_diff", "cached_equals_exact", "coverage_coarsest", "row_pattern_sql", "ambiguous_regions", "pattern_cached_equals_exact", "cache_hit_ratio", "prefetch_ranges", "method_cost_summary", "risk_coverage", "shape_detector", "workload_parse", "stream_rollup", "calendar_snap"])
+NAMES = """
+dataset_metadata m4_timestamps rollup_m4 rollup_minmax rollup_ols hash_rank_sample bucket_mean_dense pattern_exact_two_seg pattern_var_length
+pattern_unbounded pattern_nested_group pattern_relaxed_two_seg pixel_diff pixel_error_columns high_error_intervals cached_equals_exact cached_cut_span missing_intervals
+coverage_coarsest row_pattern_sql ambiguous_regions slope_interval slope_interval_straddler pattern_cached_equals_exact pattern_engine_exact
+view_accuracy_one cache_hit_ratio prefetch_ranges method_cost_summary accuracy_summary risk_coverage shape_detector workload_parse stream_rollup
+calendar_snap calendar_buckets sink_match_log sink_wide_csv
+""".split()
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in os.listdir(SF):
@@ -46,7 +58,68 @@ def test_vertex_bounds_undefined(spark):
 
 def test_bounds_hold_every_exact_slope(spark):
     r = registry.QUERIES["bound_validation"](spark, "/root/testdata/sf0.01").collect()
-    assert r and all(x["windows"] == x["inside"] for x in r)
+    assert sum(x["windows"] for x in r) == 875 and all(x["windows"] >= x["defined"] == x["inside"] for x in r)
+
+
+def test_relaxed_search_loses_no_exact_match(spark):
+    sf = "/root/testdata/sf0.01"
+    exact = registry._found(spark, sf, patterns.parse("6:20:80")).select("id", "b").distinct()
+    found = patterns.classified(registry._bounds(spark, sf), 20, 80, 0.95).select("id", "b")
+    assert exact.count() == 375 and exact.join(found, ["id", "b"], "left_anti").count() == 0
+
+
+def test_bounds_of_all_parts_hold_every_exact_slope(spark):
+    r = registry_engine.rigorous_bounds(spark, "/root/testdata/sf0.001").collect()
+    assert sum(x["defined"] for x in r) > 0 and all(x["defined"] == x["inside"] for x in r)
+
+
+def test_bounds_of_a_straddled_segment():
+    # Segment 0..20 on the line 4x: the first part begins before it, with one of its four points inside at most.
+    parts = np.array([(-4, 4, 4, 48.0, 4.0, 16.0), (4, 8, 3, 72.0, 20.0, 28.0), (12, 16, 3, 168.0, 52.0, 60.0)])
+    est, lo, hi = slopes.rigorous_bounds(parts / np.array([20, 20, 1, 1, 1, 1]), 1.0)
+    assert lo is None or lo <= 80 <= hi
+
+
+def test_sketch_of_rising_parts(spark):
+    rows = [("m", i, i / 2, i / 2 + 0.5, 1, i / 2 + 0.25) for i in range(4)]
+    sub = spark.createDataFrame(rows, "id string, b bigint, mn double, mx double, n bigint, sm double")
+    r = slopes.interval(sub, 4, 1).first()
+    assert math.isclose(r["est"], math.degrees(math.atan(2)), rel_tol=1e-9)
+
+
+def test_empty_parts_are_passed_over(spark):
+    rows = [("m", b, 1.0 * b, 1.0 * b, 2, 2.0 * b) for b in (0, 3, 4, 7, 12, 15)]
+    sub = spark.createDataFrame(rows, "id string, b bigint, mn double, mx double, n bigint, sm double")
+    assert [r["b"] for r in slopes.interval(sub, 4, 2).orderBy("b").collect()] == [0]
+
+
+def test_angles_far_from_the_origin(spark):
+    far = 1_704_067_200_000
+    s = spark.createDataFrame([(far + 1000 * i + d, "a", 2.0 * (i + d / 1000)) for i in range(60) for d in (0, 400, 900)], "ts_ms bigint, id string, value double")
+    got = slopes.runs(buckets.regression_sums(s, 1000, 0), 2, 5).collect()
+    assert len(got) == 59 + 58 + 57 + 56 and all(math.isclose(r["angle"], math.degrees(math.atan(2)), abs_tol=1e-4) for r in got)
+
+
+def test_runs_reach_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(slopes, "BLOCK", 8)
+    s = spark.createDataFrame([(10 * i + d, "a", math.sin(i) + d) for i in range(50) if i != 20 for d in (1, 7)], "ts_ms bigint, id string, value double")
+    sums = buckets.regression_sums(s, 10, 0)
+    got = {(r["b"], r["len"]) for r in slopes.runs(sums, 2, 4).collect()}
+    assert got == {(b, k) for b in range(50) for k in (2, 3, 4) if b + k <= 50 and not b <= 20 < b + k}
+
+
+def test_samples_have_their_interval(spark):
+    line = [(1000 * i, "a", 3.0 * i) for i in range(60)]
+    noisy = [(1000 * i, "b", 3.0 * i + random.Random(i).gauss(0, 5)) for i in range(60)]
+    s = spark.createDataFrame([*line, *noisy, (0, "c", 1.0)], "ts_ms bigint, id string, value double")
+    sums = buckets.regression_sums(s, 60_000, 0)
+    ci = {r["id"]: r for r in slopes.sampled_ci(sums).collect()}
+    true = math.degrees(math.atan(180))
+    assert math.isclose(ci["a"]["lo"], ci["a"]["hi"], abs_tol=1e-3) and ci["b"]["lo"] <= true <= ci["b"]["hi"]
+    one, two = (slopes.bootstrap_ci(buckets.rank_sample(s, 60_000, 0, 0, 100), 60_000, 0).orderBy("id").collect() for _ in range(2))
+    boot = {r["id"]: r for r in one}
+    assert one == two and boot["a"]["hi"] - boot["a"]["lo"] < 1e-6 and boot["b"]["lo"] < boot["b"]["est"] < boot["b"]["hi"]
+    assert boot["c"]["est"] is None and (boot["c"]["lo"], boot["c"]["hi"]) == (-90, 90)
 
 
 def test_gap_ends_a_segment(spark):
@@ -55,15 +128,189 @@ def test_gap_ends_a_segment(spark):
     assert [r["b"] for r in got] == [0]
 
 
+def test_patterns_are_parsed():
+    assert patterns.parse("6:*:*;2-3:10:80+;4:-5:5?;1:0:1{2,4}") == [
+        patterns.Segment(6, 6), patterns.Segment(2, 3, 10, 80, 1, None), patterns.Segment(4, 4, -5, 5, 0, 1), patterns.Segment(1, 1, 0, 1, 2, 4)
+    ]
+    assert patterns.parse("1:*:**")[0].at_most is None and patterns.parse("1:*:*")[0].any
+    for bad in ("0:1:2", "3-2:1:2", "1:20:10", "1:-100:0"):
+        with pytest.raises(ValueError):
+            patterns.parse(bad)
+
+
+def test_groups_are_written_out():
+    a, z = patterns.parse("2:10:89;3:-89:-10")
+    group = patterns.Group((a, patterns.Group((z,), 0, 1)), 1, 2)
+    assert sorted(map(len, patterns.sequences([group], 100))) == [1, 2, 2, 3, 3, 4]
+    assert patterns.sequences([patterns.Segment(2, 2, 0, 1, 0, None)], 7) == [[patterns.Segment(2, 2, 0, 1)] * k for k in (1, 2, 3)]
+
+
+@pytest.mark.parametrize("spec", ["2:0:1+", "2:0:1*;3:0:1", "1-2:0:1{2,3}", "2:0:1?;3:0:1?;1:0:1"])
+def test_automaton_equals_written_out_sequences(spec):
+    parts, last, rng = patterns.parse(spec), 14, random.Random(7)
+    machine = patterns.Automaton(parts)
+    fits = {(b, k): rng.random() < 0.6 for b in range(last) for k in (1, 2, 3)}
+    starts = {b: [[k for k in range(s.shortest, s.longest + 1) if b + k <= last and fits[b, k]] for s in machine.segments] for b in range(last)}
+
+    def ends(b, sequence):
+        if not sequence:
+            return {b}
+        return {e for k in range(sequence[0].shortest, sequence[0].longest + 1) if b + k <= last and fits.get((b, k)) for e in ends(b + k, sequence[1:])}
+
+    want = {b: {e for c in patterns.sequences(parts, last) for e in ends(b, c)} for b in range(last)}
+    got = machine.ends(starts, last)
+    assert {b: {e for e in range(last + 1) if x >> e & 1} for b, x in got.items()} == {b: x for b, x in want.items() if x}
+    assert "digraph" in machine.dot()
+
+
+def test_verified_matches(spark):
+    kind = "id string, b bigint, to bigint, lens string"
+    found = spark.createDataFrame([("a", 0, 2, "002"), ("a", 5, 8, "003")], kind)
+    assert [r["exact"] for r in patterns.verified(found, found.limit(1)).orderBy("b").collect()] == [True, False]
+
+
 def test_refinement_steps():
     assert [timeunits.next_factor(*x) for x in ((4, 0.1, 0.05), (4, 1, 0.01), (4, 0.04, 0.05), (4, 0.1, 0.05, 7), (1440, 0.3, 0.05, 1440), (4, 0.1, 0.05, -7))] == [8, 8, 4, None, None, 8]
 
 
+def test_widths_and_days():
+    assert timeunits.width_of("4 Hours") == 4 * timeunits.HOUR and timeunits.width_of("1 day") == timeunits.DAY
+    hour, day = timeunits.HOUR, timeunits.DAY
+    assert timeunits.day_align(day + 7 * hour, day + 10 * hour, 5, hour) == (day + 5 * hour, day + 10 * hour)
+    assert timeunits.day_align(0, 10 * hour, 1, hour) == (0, 11 * hour) and timeunits.day_align(0, 23 * hour, 5, hour)[1] == day
+    assert timeunits.buckets_between(0, 11, 5) == 3 and timeunits.divides(5, 15) and not timeunits.divides(10, 15)
+
+
 def test_snapping_and_alignment():
     assert timeunits.snap_down(7 * timeunits.MINUTE) == 6 * timeunits.MINUTE and timeunits.snap_up(7 * timeunits.MINUTE) == 10 * timeunits.MINUTE
     assert timeunits.align(13, 47, 10) == (10, 50) and timeunits.align(10, 50, 10) == (10, 50)
 
 
+def test_intervals():
+    a, z = series.Interval(0, 10), series.Interval(10, 30)
+    assert a.adjacent(z) and not a.overlaps(z) and a.span(z) == series.Interval(0, 30) and z.share(series.Interval(0, 15)) == 0.25
+
+
+def test_only_the_widest_span_answers_a_view():
+    hour, day = timeunits.HOUR, timeunits.DAY
+    spans = [Span("m", w, 0, 40 * day) for w in (12 * hour, 6 * hour, 5 * timeunits.MINUTE)]
+    taken, missing = view_coverage(spans, "m", 0, 40 * day, 4 * day)
+    assert taken == [(spans[0], 0, 40 * day)] and not missing
+
+
+def test_evictions():
+    spans = [Span("a", 10, 0, 1000), Span("a", 10, 100_000, 101_000), Span("b", 10, 0, 1000)]
+    recent = [("b", 0, 1000, 10), ("a", 0, 1000, 10)]
+    assert evictions(spans, recent, 100_000) == []
+    assert evictions(spans, recent, 11_000)[0] == ("roll up", spans[1])
+    assert evictions([Span("a", 10, 100_005, 101_005)], recent, 1000)[0][0] == "drop"
+
+
+def test_evicted_tables_are_given_back(spark):
+    s = spark.createDataFrame([(i, m, float(i)) for i in range(100) for m in "ab"], "ts_ms bigint, id string, value double")
+    with Cache(s, 0, budget=500) as cache:
+        want = sorted(map(tuple, buckets.aggregate(s.where("id = 'a'"), 20, 0).collect()))
+        for _ in range(2):
+            assert sorted(map(tuple, cache.aggregate("a", 0, 100, 20).collect())) == want
+            cache.aggregate("b", 0, 100, 10).count()
+        assert cache.bytes <= 500 and cache.warm(["a"], 0, 100) >= 10
+        with pytest.raises(ValueError):
+            cache.aggregate("a", 5, 100, 20)
+    assert not cache.tables
+
+
+def test_measure_names_need_no_quoting(spark):
+    s = spark.createDataFrame([(1, "o'clock", 1.0)], "ts_ms bigint, id string, value double")
+    with Cache(s, 0) as cache:
+        assert cache.aggregate("o'clock", 0, 10, 10).count() == 1
+
+
+def test_queries_are_checked():
+    for bad in (lambda: View(0, 1000, ("m",), 10, 10, 1.5), lambda: View(5, 5, ("m",)), lambda: View(0, 1000, ()), lambda: PatternQuery(0, 10, "m", 1, ())):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_engine_meets_its_accuracy(spark):
+    rng = random.Random(1)
+    s = spark.createDataFrame([(i * 100, "m", math.sin(i / 50) + rng.random() / 10) for i in range(4000)], "ts_ms bigint, id string, value double")
+    e = Engine(s, 100, 0, 400_000)
+    view = View(0, 400_000, ("m",), 40, 30, 0.9)
+    first, again = e.execute(view), e.execute(view)
+    assert first.errors["m"] <= 0.1 and again.metrics.hit_ratio == 1 and again.metrics.fetched_bytes == 0
+    assert {r["px"] for r in first.rows.collect()} == set(range(40))
+    raw, exact = run(e, view, "raw").rows, run(e, view, "aggregate").rows
+    assert raw.count() == 4000 and exact.count() == e.execute(View(0, 400_000, ("m",), 40, 30, 1.0)).rows.count()
+    ask = lambda accuracy: PatternQuery(0, 400_000, "m", 5000, tuple(patterns.parse("3-4:5:89;3-4:-89:-5")), accuracy)
+    exact = {(r["b"], r["to"]) for r in e.execute(ask(1.0)).rows.collect()}
+    near = e.execute(ask(0.99))
+    assert exact and near.metrics.error_after <= 0.01 and exact <= {(r["b"], r["to"]) for r in near.rows.collect()} | exact
+    e.close()
+    assert not e.cache.tables
+
+
+def test_hand_computed_pixel_error(spark):
+    kind = "id string, f bigint, t bigint, n bigint, mn double, mn_ms bigint, mx double, mx_ms bigint"
+    rows = [(0, 80, 5.0, 40, 6.0, 50), (80, 120, 5.0, 90, 5.0, 95), (120, 180, 3.0, 130, 5.0, 170), (180, 220, 0.0, 210, 8.0, 195), (220, 300, 5.0, 230, 6.0, 270)]
+    groups = spark.createDataFrame([("m", f, t, 2, *x) for f, t, *x in rows], kind)
+    judged = pixels.errors(pixels.columns(groups, 0, 300, 3), 10)
+    r = {x["px"]: x for x in judged.collect()}
+    assert [r[i]["error"] for i in range(3)] == [0, 0.7, 0.8] and r[1]["missing"] == [0, 1, 2]
+    assert pixels.total_error(judged).first()["error"] == 0.5
+    assert [tuple(x)[1:] for x in pixels.high_error(judged, 0.5).collect()] == [(100, 300)]
+    groups = spark.createDataFrame([("m", f, t, 2, *x) for f, t, *x in [(0, 50, 2.0, 20, 4.0, 30), (50, 100, 1.0, 70, 3.0, 90), (100, 150, 5.0, 110, 7.0, 140), (150, 200, 3.0, 170, 6.0, 180)]], kind)
+    assert 0 in next(x for x in pixels.errors(pixels.columns(groups, 0, 200, 2), 10).collect() if x["px"] == 1)["missing"]
+
+
+def test_columns_that_cannot_be_told(spark):
+    kind = "id string, f bigint, t bigint, n bigint, mn double, mn_ms bigint, mx double, mx_ms bigint"
+    one = lambda *spans: pixels.columns(spark.createDataFrame([("m", f, t, 1, 1.0, f, 2.0, t - 1) for f, t in spans], kind), 0, 100, 1).first()["gapless"]
+    assert one((10, 90)) and not one((0, 30), (60, 90)) and one((0, 50), (50, 90)) and not one((-10, 50))
+
+
+def test_equal_rasters_are_alike(spark):
+    a = spark.createDataFrame([("m", i, i % 7) for i in range(20)], "id string, px bigint, py int")
+    assert math.isclose(pixels.similarity(a, a, 20, 10).first()["ssim"], 1.0)
+    assert pixels.similarity(a, a.withColumn("py", a.py + 1), 20, 10).first()["ssim"] < 0.9
+
+
+def test_metadata_store(spark, tmp_path):
+    store = catalog.MetadataStore(str(tmp_path / "known.json"))
+    s = spark.createDataFrame([(5, "b", 1.0), (10, "a", 1.0), (17, "a", 2.0), (30, "b", 1.0)], "ts_ms bigint, id string, value double")
+    assert not store.has("x") and store.describe("x", s) == catalog.Metadata(("a", "b"), 5, 31, 7) == store.get("x") and store.get("x").measure(1) == "b"
+    assert catalog.describe(s.limit(0)).header == () and catalog.describe(s, 3).sampling == 3
+
+
+def test_confident_scores(spark):
+    truth = spark.createDataFrame([("a", 0, 5), ("a", 10, 15)], "id string, b bigint, to bigint")
+    found = spark.createDataFrame([("a", 1, 5, True), ("a", 10, 15, False), ("a", 30, 35, True)], "id string, b bigint, to bigint, confident boolean")
+    assert tuple(scoring.confident_scores(truth, found, 1).first()) == ("a", 2, 1, 0, 1, 1)
+
+
+def test_database_round_trip(spark, tmp_path):
+    s = spark.createDataFrame([("2024-01-01 00:00:00", "a", 1.5), ("2024-01-02 00:00:00", "b", 2.5)], "t string, id string, value double").selectExpr("cast(t AS timestamp) AS ts", "id", "value")
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    try:
+        spark._jvm.java.lang.Class.forName("org.apache.derby.jdbc.EmbeddedDriver")
+    except Exception:
+        pytest.skip("no database driver")
+    catalog.to_jdbc(s, url, "points", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    for more in ({}, {"parts": 2, "low": "2024-01-01 00:00:00", "high": "2024-01-03 00:00:00"}):
+        back = catalog.from_jdbc(spark, url, "points", driver="org.apache.derby.jdbc.EmbeddedDriver", **more)
+        assert sorted((r["ts_ms"], r["id"], r["value"]) for r in back.collect()) == [(1704067200000, "a", 1.5), (1704153600000, "b", 2.5)]
+
+
+def test_trace_runs_what_was_planted(spark):
+    shapes = workload.planted(4000, 0, 1000, 500)
+    lines = workload.walk(0, 4_000_000, 30, shapes)
+    assert len(lines) == 30 and all(0 <= v.low < v.high <= 4_000_000 for v in lines) and lines == workload.walk(0, 4_000_000, 30, shapes)
+    text = spark.createDataFrame([(x.text("0"),) for x in lines], "value string")
+    asked = workload.queries(workload.parse(text, ("a", "b")))
+    assert len(asked) == 30 and any(isinstance(q, PatternQuery) for q in asked) and all(getattr(q, "measure", "a") == "a" for q in asked)
+    made = workload.cohorts(shapes, 0, 4_000_000, 2)
+    assert set(made) >= {("length", "8seg"), ("width", "narrow"), ("selectivity", "few")} and all(len(v) <= 2 for v in made.values())
+
+
 def test_coverage_prefers_the_widest():
     wide, narrow = Span("m", 20, 0, 100), Span("m", 10, 0, 200)
     assert coverage([narrow, wide], "m", 0, 220, 20) == ([(wide, 0, 100), (narrow, 100, 200)], [(200, 220)])
@@ -90,11 +337,6 @@ def test_match_scores_pair_one_to_one(spark):
     assert got == {"a": (1, 2, 1), "b": (0, 0, 1), "c": (0, 1, 0)}
 
 
-def test_walk_stays_inside():
-    views = workload.walk(0, 1000, 50)
-    assert len(views) == 50 and all(0 <= v.low < v.high <= 1000 for v in views) and views == workload.walk(0, 1000, 50)
-
-
 def test_rollup_follows_new_files_once(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "ts_ms bigint, id string, value double")
     inputs, path = f"file://{tmp_path}/in", f"file://{tmp_path}/out"

@@ -144,7 +144,9 @@ class Engine:
     def _view(self, q: View) -> Result:
         if q.widths:
             return Result(self.by_widths(q), Metrics("view", q.low, q.high, q.accuracy))
-        q = replace(q, low=max(q.low, self.first), high=min(q.high, self.last)) if q.low < self.last and q.high > self.first else q
+        low, high = max(q.low, self.first), min(q.high, self.last)
+        if high - low >= q.width:  # else there is less to draw than columns
+            q = replace(q, low=low, high=high)
         m = Metrics("view", q.low, q.high, q.accuracy, initial_factor=self.initial_factor, final_factor=self.initial_factor)
         if q.accuracy == 1:
             return Result(self.exact_view(q), m, dict.fromkeys(q.measures, 0.0))
@@ -351,18 +353,21 @@ class Engine:
         return patterns.without_overlap(found).select("id", (F.col("b") + first).alias("b"), (F.col("to") + first).alias("to"), F.lit("").alias("lens"))
 
 
-#: Ways to answer a query: from the cache, point by point, by four points read anew, by exact slopes.
-MODES = ("cache", "raw", "aggregate")
+#: Ways to answer a query: from the cache, point by point, by four points or exact slopes read anew, by rows of non-empty buckets.
+MODES = ("cache", "raw", "aggregate", "rows")
 
 
 def run(engine: Engine, query: View | PatternQuery, mode: str = "cache") -> Result:
-    """The result of a query in one of MODES; the last two don't touch the cache."""
+    """The result of a query in one of MODES; all but the first don't touch the cache. Rows are for patterns of fixed lengths."""
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
     if mode == "cache":
         return engine.execute(query)
     began = time.time()
-    if isinstance(query, PatternQuery):
+    if isinstance(query, PatternQuery) and mode == "rows":
+        points = within(engine.series, *align(query.low, query.high, query.unit)).where(F.col("id") == query.measure)
+        rows = patterns.row_pattern(buckets.regression_sums(points, query.unit, 0), query.parts)
+    elif isinstance(query, PatternQuery):
         rows = engine.exact_pattern(query)
     else:
         rows = raw(engine.series, query.measures, query.low, query.high) if mode == "raw" else engine.exact_view(query)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +109,17 @@ def inconclusive_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return pixels.inconclusive(_judged(spark, sf))
 
 
+@query(
+    f"WITH {S}, i AS (SELECT DISTINCT id FROM s WHERE ts_ms < {ORIGIN + 20 * DAY}), p AS (SELECT unnest(range({ORIGIN}, {ORIGIN + WIDTH * STEP}, {STEP})) AS c0) "
+    f"SELECT id, min(c0) AS low, max(c0) + {STEP} AS high FROM i, p WHERE c0 >= {ORIGIN + 20 * DAY} GROUP BY id"
+)
+def missing_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """What a view of thirty days has to fetch when groups of the first twenty are there."""
+    count = 20 * DAY // SUB
+    table = buckets.dense(buckets.aggregate(src.within(series(spark, sf), ORIGIN, ORIGIN + 20 * DAY), SUB, ORIGIN), count)
+    return pixels.unknown(pixels.columns(pixels.groups_of_extents(table, SUB, ORIGIN), ORIGIN, END, WIDTH))
+
+
 @query()
 def view_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Structural similarity of a view with the same drawn from half as many columns."""
@@ -431,6 +444,15 @@ def wide_csv_source(spark: SparkSession, sf: str) -> DataFrame:
     return src.from_csv(spark, path, "timestamp", ids, "yyyy-MM-dd HH:mm:ss.SSS").select("ts_ms", "id", "value")
 
 
+@query(f"WITH {S} SELECT ts_ms, id, value FROM s WHERE id = 'click' AND ts_ms < {ORIGIN + 5 * DAY}")
+def jdbc_source(spark: SparkSession, sf: str) -> DataFrame:
+    """A table written to the database that comes with Spark, in memory of this machine, and a range of it read back."""
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    catalog.to_jdbc(src.within(series(spark, sf), ORIGIN, ORIGIN + 6 * DAY).coalesce(1), url, "points", driver=driver, createTableColumnTypes="id VARCHAR(64)")
+    points = catalog.from_jdbc(spark, url, "points", driver=driver)
+    return workspace.written(src.scan(points, {"click": [src.Interval(ORIGIN, ORIGIN + 5 * DAY)]}), "points")
+
+
 @query(f"{base._greedy_sql(base.UP_DOWN, 'DESC').replace(base.OUT, 'SELECT *')}".replace(" SELECT * FROM w", f" SELECT id || ' ' || (b * {UNIT} + {ORIGIN}) || '..' || (z * {UNIT} + {ORIGIN}) || ' [' || (b * {UNIT} + {ORIGIN}) || '..' || ((b + 6) * {UNIT} + {ORIGIN}) || ', ' || ((b + 6) * {UNIT} + {ORIGIN}) || '..' || (z * {UNIT} + {ORIGIN}) || ']' AS value FROM w"))
 def sink_match_log(spark: SparkSession, sf: str) -> DataFrame:
     """Matches as lines of text, read back."""
@@ -454,12 +476,12 @@ def sink_bounds(spark: SparkSession, sf: str) -> DataFrame:
 LINE = "ts_ms || ',' || (ts_ms + 3600000 * (1 + user_id % 5)) || ',a,b,' || (user_id % 3) || '|' || (user_id % 7) || ',' || (100 + user_id % 50) || ',60,0.9,' || CASE WHEN user_id % 2 = 0 THEN 'visual,pan' ELSE 'pattern,custom,' || (1 + user_id % 4) || ' Hours,6:20:89' END"
 
 
-@query("WITH e AS (SELECT epoch_us(ts) // 1000 AS ts_ms, user_id FROM events) SELECT ts_ms AS low, ts_ms + 3600000 * (1 + user_id % 5) AS high, ['x', 'y', 'z'][CAST(user_id % 3 + 1 AS INTEGER)] || '+' || CASE WHEN user_id % 7 < 3 THEN ['x', 'y', 'z'][CAST(user_id % 7 + 1 AS INTEGER)] ELSE CAST(user_id % 7 AS VARCHAR) END AS measures, CAST(100 + user_id % 50 AS INTEGER) AS width, 60 AS height, CAST(0.9 AS DOUBLE) AS accuracy, CASE WHEN user_id % 2 = 0 THEN 'visual' ELSE 'pattern' END AS kind, CASE WHEN user_id % 2 = 0 THEN 'pan' ELSE 'custom' END AS name, CASE WHEN user_id % 2 = 1 THEN 3600000 * (1 + user_id % 4) END AS unit, CASE WHEN user_id % 2 = 1 THEN '6:20:89' END AS segments FROM e")
+@query("WITH e AS (SELECT epoch_us(ts) // 1000 AS ts_ms, user_id FROM events) SELECT ts_ms AS low, ts_ms + 3600000 * (1 + user_id % 5) AS high, ['x', 'y', 'z'][CAST(user_id % 3 + 1 AS INTEGER)] || '+' || CASE WHEN user_id % 7 < 3 THEN ['x', 'y', 'z'][CAST(user_id % 7 + 1 AS INTEGER)] ELSE CAST(user_id % 7 AS VARCHAR) END AS measures, CAST(100 + user_id % 50 AS INTEGER) AS width, 60 AS height, CAST(0.9 AS DOUBLE) AS accuracy, CASE WHEN user_id % 2 = 0 THEN 'visual' ELSE 'pattern' END AS kind, CASE WHEN user_id % 2 = 0 THEN 'pan' ELSE 'custom' END AS name, CASE WHEN user_id % 2 = 1 THEN 3600000 * (1 + user_id % 4) ELSE 0 END AS unit, CASE WHEN user_id % 2 = 1 THEN '6:20:89' END AS segments FROM e")
 def workload_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Trace lines made of events, and one broken line, parsed."""
     e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("unix_micros(cast(ts AS timestamp)) div 1000 AS ts_ms", "user_id")
     lines = e.selectExpr(f"{LINE} AS value").unionByName(spark.createDataFrame([("broken,line",)], "value string"))
-    return workload.parse(lines, ("x", "y", "z")).withColumn("measures", F.array_join("measures", "+"))
+    return workload.parse(lines, ("x", "y", "z")).withColumns({"measures": F.array_join("measures", "+"), "unit": F.coalesce("unit", F.lit(0))})
 
 
 @query(

@@ -7,18 +7,15 @@ watermark, and a batch that is run again overwrites what it had written.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark import workspace
 from tidemark.operators import buckets
 
 
 def fresh(spark: SparkSession) -> str:
-    """An unused path in the shared folder that the cluster names; in a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/rollup-{uuid.uuid4().hex}"
+    """An unused path in the shared folder."""
+    return workspace.fresh(spark, "rollup")
 
 
 def follow(series: DataFrame, width: int, origin: int, path: str) -> None:
