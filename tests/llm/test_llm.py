@@ -412,9 +412,12 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
 
 
-def test_near_duplicate_stage_drops_planted_near_copies(spark):
+@pytest.mark.parametrize("family", [0, 1 << 20])
+def test_near_duplicate_stage_drops_planted_near_copies(spark, monkeypatch, family):
     import corpus_pipeline
 
+    monkeypatch.setattr(nearcopies, "FAMILY", family)
+
     rng = random.Random(8)
     base = [[f"w{rng.randrange(500)}" for _ in range(200)] for _ in range(6)]
     texts = []
