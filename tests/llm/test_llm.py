@@ -389,9 +389,10 @@ def test_stages_judge_rows_by_their_text(spark):
     rows = [(i, t, "en", "s", len(t or "")) for i, t in [(None, f"see {leak} there"), (1, f"see {leak} there"), (1, "clean"), (2, None), (None, "fine"), (2, None)]]
     left = corpus_pipeline.decontaminated(spark, spark.createDataFrame(rows, kind), d)
     assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, "clean"), (2, None), (None, "fine"), (2, None)]) and left.columns == list(corpus_pipeline.COLUMNS)
-    bad = queries.op4_toxicity(spark, d).where("predicted = 1").join(queries.table(spark, d, "documents"), "doc_id").first()["text"]
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in [(None, bad), (1, bad), (1, "clean words"), (3, None), (3, "")]]
-    left = corpus_pipeline.toxic(spark, spark.createDataFrame(rows, kind), d)
+    docs = queries.table(spark, d, "documents").select(*corpus_pipeline.COLUMNS).where("doc_id > 9")  # what the stage learns from
+    bad = queries.op4_toxicity(spark, d).where("score > 0.95 AND doc_id > 9").join(docs, "doc_id").first()["text"]
+    rows = [(i, t, "en", "planted", len(t or "")) for i, t in [(None, bad), (1, bad), (1, "clean words"), (3, None), (3, "")]]
+    left = corpus_pipeline.toxic(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), d).where("source = 'planted'")
     assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, "clean words"), (3, None), (3, "")])
     none = spark.createDataFrame([], kind)
     assert all(stage(spark, none, d).count() == 0 for _, stage in corpus_pipeline.STAGES)
