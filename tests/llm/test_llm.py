@@ -479,3 +479,31 @@ def test_long_words_hash_apart():
     w = arrowtext.Words(*arrowtext.buffers(pa.array(["a" * 100 + " " + "a" * 101 + " " + "a" * 100])))
     h = arrowtext.polynomial(w, 0)
     assert h[0] == h[2] != h[1]
+
+
+def test_families_equal_brute_force():
+    rng = random.Random(2)
+    for case in range(8):
+        base = [[rng.getrandbits(60) for _ in range(rng.randint(5, 80))] for _ in range(4)]
+        sets = []
+        for _ in range(120):
+            b, share = rng.choice(base), rng.choice([0, 0.05, 0.1, 0.2])
+            sets.append({x for x in b if rng.random() > share} | {rng.getrandbits(60) for _ in range(rng.randint(0, 8))} | {rng.choice(b)})
+        names = list(range(len(sets)))
+
+        def root(i):
+            while names[i] != i:
+                i = names[i]
+            return i
+
+        def unite(pairs):
+            names[:] = range(len(sets))
+            for a, b in pairs:
+                x, y = sorted((root(a), root(b)))
+                names[y] = x
+            return [root(i) for i in range(len(sets))]
+
+        columns = [pa.array(range(len(sets)), pa.int64()), pa.array([rng.randrange(9) for _ in sets], pa.int64()), pa.array([sorted(s) for s in sets], pa.list_(pa.int64()))]
+        found = nearcopies.family_links(pa.table(columns, ["cls", "popular", "elements"]))
+        near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+        assert unite(zip(*(found.column(c).to_pylist() for c in "ab"))) == unite(near), case
