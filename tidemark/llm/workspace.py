@@ -29,6 +29,16 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], count: str, total:
     return few.select(*columns).unionByName(many.select(*columns))
 
 
+#: Bytes up to which small() broadcasts.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(table: DataFrame, size: Column | int) -> DataFrame | None:
+    """A written table marked for broadcast if its rows, `size` bytes each, add up to BROADCAST_BYTES at most; else None."""
+    total = table.agg(F.sum((F.lit(size) if isinstance(size, int) else size).cast("long"))).first()[0] or 0
+    return F.broadcast(table) if total <= BROADCAST_BYTES else None
+
+
 def salted(rows: DataFrame, table: DataFrame, on: str, by: Column, total: int) -> DataFrame:
     """rows joined with a table that has one row for each value of `on`, for tables whose rows are too wide to broadcast.
 
