@@ -7,10 +7,18 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
+    from tidemark import workspace
+
+    shared = tmp_path_factory.mktemp("shared")
+    conf = {"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.checkpoint.dir": f"file://{shared}"}
+    builder = SparkSession.builder.master("local[4]").config("spark.driver.extraJavaOptions", f"-Dderby.system.home={shared}")
+    for k, v in conf.items():
+        builder = builder.config(k, v)
+    s = builder.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    workspace.clear(s)
     s.stop()
