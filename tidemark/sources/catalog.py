@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources import series as src
@@ -104,6 +104,12 @@ def wide(points: DataFrame, header: Sequence[str]) -> DataFrame:
     return points.groupBy(F.col("ts_ms").alias("timestamp")).pivot("id", list(header)).agg(F.min("value"))
 
 
+def wide_rows(points: DataFrame, header: Sequence[str]) -> DataFrame:
+    """wide() of all points: a time has as many rows as its commonest measure has points, and the smallest of each measure share the first."""
+    nth = F.row_number().over(Window.partitionBy("ts_ms", "id").orderBy("value"))
+    return points.withColumn("nth", nth).groupBy(F.col("ts_ms").alias("timestamp"), "nth").pivot("id", list(header)).agg(F.first("value")).drop("nth")
+
+
 def to_csv(points: DataFrame, header: Sequence[str], path: str) -> None:
     """Points of all measures as one wide CSV table, in the order of time."""
     wide(points, header).orderBy("timestamp").write.option("header", True).mode("overwrite").csv(path)
