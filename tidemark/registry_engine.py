@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -446,10 +444,9 @@ def wide_csv_source(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {S} SELECT ts_ms, id, value FROM s WHERE id = 'click' AND ts_ms < {ORIGIN + 5 * DAY}")
 def jdbc_source(spark: SparkSession, sf: str) -> DataFrame:
-    """A table written to the database that comes with Spark, in memory of this machine, and a range of it read back."""
-    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
-    catalog.to_jdbc(src.within(series(spark, sf), ORIGIN, ORIGIN + 6 * DAY).coalesce(1), url, "points", driver=driver, createTableColumnTypes="id VARCHAR(64)")
-    points = catalog.from_jdbc(spark, url, "points", driver=driver)
+    """A table written to the database that comes with Spark, and a range of it read back."""
+    url = catalog.to_derby(src.within(series(spark, sf), ORIGIN, ORIGIN + 6 * DAY), "points", createTableColumnTypes="id VARCHAR(64)")
+    points = catalog.from_jdbc(spark, url, "points", driver=catalog.DERBY)
     return workspace.written(src.scan(points, {"click": [src.Interval(ORIGIN, ORIGIN + 5 * DAY)]}), "points")
 
 

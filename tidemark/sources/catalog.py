@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import json
+import shutil
+import zipfile
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import workspace
 from tidemark.sources import series as src
 
+#: The driver of the database that comes with Spark.
+DERBY = "org.apache.derby.jdbc.EmbeddedDriver"
+
 
 @dataclass(frozen=True)
 class Metadata:
@@ -99,6 +107,47 @@ def to_jdbc(series: DataFrame, url: str, table: str, mode: str = "error", **opti
     rows.write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode(mode).save()
 
 
+def to_derby(series: DataFrame, table: str, **options: str) -> str:
+    """Writes (timestamp, id, value) to a table of a new embedded database; returns a URL under which all executors may read it at once.
+
+    One process only may open such a database for writing, and Spark's writer
+    opens it from the driver and from executors.  So executors write text to the
+    shared folder, which the driver's Derby loads file by file.  Then the database
+    becomes an archive there, which any number of processes may read.  The folder
+    has to be mounted, as Derby reads files only.
+    """
+    spark = series.sparkSession
+    place = urlparse(workspace.fresh(spark, "database"))
+    if place.scheme not in ("", "file"):
+        raise RuntimeError(f"an embedded database can't be in a folder of {place.scheme}: use to_jdbc() and a database with a server")
+    path, jvm = unquote(place.path), spark._jvm
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    to_jdbc(series.limit(0), f"jdbc:derby:{path};create=true", table, driver=DERBY, **options)
+    # Readers of databases take times to be of the process's zone.
+    zone = jvm.java.util.TimeZone.getDefault().getID()
+    at = F.date_format(F.convert_timezone(None, F.lit(zone), F.col("ts").cast("timestamp").cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    text = workspace.fresh(spark, "rows")
+    series.select(at.alias("timestamp"), "id", "value").write.option("escape", '"').csv(text)
+    db = jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{path}")
+    load = db.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, ',', '\"', 'UTF-8', 0)")
+    for part in sorted(Path(unquote(urlparse(text).path)).glob("part-*")):
+        load.setString(1, table.upper())
+        load.setString(2, str(part))
+        load.execute()
+    db.close()
+    try:
+        jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{path};shutdown=true")
+    except Py4JJavaError as e:  # what Derby always answers
+        if e.java_exception.getSQLState() != "08006":
+            raise
+    with zipfile.ZipFile(f"{path}.jar", "w", zipfile.ZIP_STORED) as archive:
+        for p in sorted(Path(path).rglob("*")):
+            archive.write(p, f"db/{p.relative_to(path)}")
+    shutil.rmtree(path)
+    shutil.rmtree(unquote(urlparse(text).path))
+    return f"jdbc:derby:jar:({path}.jar)db"
+
+
 def wide(points: DataFrame, header: Sequence[str]) -> DataFrame:
     """(timestamp, a column for each measure of the header) of points (ts_ms, id, value); the smallest value where a time has several."""
     return points.groupBy(F.col("ts_ms").alias("timestamp")).pivot("id", list(header)).agg(F.min("value"))
