@@ -1,8 +1,10 @@
+import itertools
 import math
 import os
 import random
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import duckdb
@@ -83,6 +85,58 @@ def test_bounds_of_a_straddled_segment():
     assert lo is None or lo <= 80 <= hi
 
 
+def bounds_by_trying(parts, end):
+    outer = [i for i, there in ((0, parts[0][0] < 0), (len(parts) - 1, len(parts) > 1 and parts[-1][1] > end)) if there]
+    lows, highs = [], []
+    for k in itertools.product(*(range(int(parts[i][2]) + 1) for i in outer)):
+        rows = [(f, t, w, sm / w, sm / w, mn, mx) for i, (f, t, w, sm, mn, mx) in enumerate(parts) if i not in outer]
+        for i, c in zip(outer, k):
+            f, t, w, sm, mn, mx = parts[i]
+            if c:
+                rows.append((max(f, 0), min(t, end), c, max(c * mn, sm - (w - c) * mx) / c, min(c * mx, sm - (w - c) * mn) / c, mn, mx))
+        if len(rows) < 2:
+            continue
+        f, t, w, y0, y1, mn, mx = np.array(rows).T
+        mid, half, n = (f + t) / 2, (t - f) / 2, w.sum()
+        dx = mid - w @ mid / n
+        down, up = w @ dx**2 - 2 * w @ (abs(dx) * half), w @ dx**2 + 2 * w @ (abs(dx) * half) + w @ ((half + w @ half / n) ** 2 + half**2)
+        if down <= 1e-12 * up:
+            return None
+        e = w @ (half * (np.maximum(abs(y1 - w @ y0 / n), abs(y0 - w @ y1 / n)) + 2 * np.maximum(mx - y0, y1 - mn)))
+        s0, s1 = np.minimum(w * dx * y0, w * dx * y1).sum() - e, np.maximum(w * dx * y0, w * dx * y1).sum() + e
+        lows.append(min(s0 / down, s0 / up))
+        highs.append(max(s1 / down, s1 / up))
+    return (min(lows), max(highs)) if lows else None
+
+
+def cut_parts(rng, k, off, points):
+    ys = [rng.normal(3 * i, 1, points()) for i in range(k)]
+    return np.array([(i * 0.4 - off, i * 0.4 + 0.4 - off, len(y), y.sum(), y.min(), y.max()) for i, y in enumerate(ys)])
+
+
+@pytest.mark.parametrize("one_by_one", [1, 1 << 12])
+def test_bounds_of_cut_parts_equal_those_by_trying(monkeypatch, one_by_one):
+    monkeypatch.setattr(slopes, "PAIRS", one_by_one)
+    monkeypatch.setattr(slopes, "CELL", 2)
+    rng, defined = np.random.default_rng(5), 0
+    for _ in range(60):
+        k, off = int(rng.integers(2, 12)), rng.choice([0, 0.1, 0.3])
+        parts = cut_parts(rng, k, off, lambda: rng.integers(1, 25))
+        end = k * 0.4 - off - rng.choice([0, 0.1, 0.3])
+        got, want = slopes.rigorous_bounds(parts, end)[1:], bounds_by_trying(parts.tolist(), end)
+        defined += want is not None
+        assert got == (None, None) if want is None else np.allclose(got, want, rtol=1e-9, atol=1e-9)
+    assert defined > 20
+
+
+def test_bounds_of_dense_cut_parts():
+    # Nine million pairs of numbers of points inside.
+    parts = cut_parts(np.random.default_rng(6), 13, 0.1, lambda: 3000)
+    begun = time.monotonic()
+    est, lo, hi = slopes.rigorous_bounds(parts, 4.9)
+    assert lo < est < hi and time.monotonic() - begun < 20
+
+
 def test_sketch_of_rising_parts(spark):
     rows = [("m", i, i / 2, i / 2 + 0.5, 1, i / 2 + 0.25) for i in range(4)]
     sub = spark.createDataFrame(rows, "id string, b bigint, mn double, mx double, n bigint, sm double")

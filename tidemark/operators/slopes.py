@@ -166,7 +166,8 @@ def rigorous_interval(sub: DataFrame, width: int, unit: int, length: int) -> Dat
 
     For each number of points that an outer sub-bucket may have inside, its
     inner sum is between limits that its minimum, maximum and total set; the
-    bounds are the hull over all numbers.  NumPy, a window at a time.
+    bounds are the hull over all numbers, found without trying each.  NumPy, a
+    window at a time.
     """
 
     @F.pandas_udf("struct<est double, lo double, hi double>")
@@ -177,43 +178,159 @@ def rigorous_interval(sub: DataFrame, width: int, unit: int, length: int) -> Dat
     return _degrees(windows(sub, width, unit, length), bound("parts"))
 
 
+#: Pairs of numbers of inner points that are looked at one by one: in all, and in a box of them.
+PAIRS, CELL = 1 << 12, 8
+
+
 def rigorous_bounds(parts: np.ndarray, end: float) -> tuple[float | None, float | None, float | None]:
-    """(est, lo, hi) for rows (f, t, w, sm, mn, mx) over the time from 0 to `end`."""
-    left, right = parts[0, 0] < 0, len(parts) > 1 and parts[-1, 1] > end or len(parts) == 1 and parts[0, 0] >= 0 and parts[0, 1] > end
-    inner = parts[int(left) : len(parts) - int(right)]
-    outer = [p for p, there in ((parts[0], left), (parts[-1], right)) if there]
-    lows, highs, est = [], [], None
-    counts = np.meshgrid(*(np.arange(int(p[2]) + 1) for p in outer), indexing="ij") if outer else []
-    choices = np.stack([c.ravel() for c in counts], axis=1) if outer else np.zeros((1, 0))
-    for k in choices:
-        # Parts with the range of their mean: known inside, limited outside.
-        rows = [(p[0], p[1], p[2], p[3] / p[2], p[3] / p[2], p[4], p[5]) for p in inner]
-        for (f, t, w, sm, mn, mx), c in zip(outer, k, strict=True):
-            if c:
-                low, high = max(c * mn, sm - (w - c) * mx), min(c * mx, sm - (w - c) * mn)
-                rows.append((max(f, 0.0), min(t, end), float(c), low / c, high / c, mn, mx))
-        if len(rows) < 2 or sum(r[2] for r in rows) < 2:
-            continue
-        f, t, w, y0, y1, mn, mx = np.array(rows).T
-        mid, half, n = (f + t) / 2, (t - f) / 2, w.sum()
-        dx = mid - w @ mid / n
-        sxx = w @ (dx * dx)
-        down = sxx - w @ (np.abs(dx) * 2 * half)
-        if not down > 0:
+    """(est, lo, hi) for rows (f, t, w, sm, mn, mx) over the time from 0 to `end`.
+
+    The hull over all pairs of numbers of inner points at both ends, by branch
+    and bound: boxes of pairs that can't reach beyond the hull so far are left
+    out, others are cut into four, small ones taken pair by pair.
+    """
+    cut = _Cut(parts, end)
+    some = 0 if len(cut.w) else 1  # without known parts both ends need a point
+    if some and min(cut.k) < 1:
+        return None, None, None
+    sides = []
+    for side in (0, 1):
+        ends = sorted({some, cut.k[side], *(int(x) + i for x in cut.kinks(side) if some <= x < cut.k[side] for i in (0, 1))})
+        ends = [x for x in ends if some <= x <= cut.k[side]]
+        sides.append([(x, y) for x, y in zip(ends[:-1], ends[1:], strict=True)] or [(some, some)])
+    box = np.array([(*x, *y) for x in sides[0] for y in sides[1]], np.int64).T
+    lo, hi = np.inf, -np.inf
+    if (cut.k[0] + 1) * (cut.k[1] + 1) <= PAIRS:
+        box = np.array([(some, cut.k[0], some, cut.k[1])], np.int64).T
+    while box.shape[1]:
+        a0, a1, z0, z1 = box
+        whole = ((a1 - a0 < CELL) & (z1 - z0 < CELL)) | ((cut.k[0] + 1) * (cut.k[1] + 1) <= PAIRS)
+        pairs = [np.concatenate((a0, a0, a1, a1)), np.concatenate((z0, z1, z0, z1))]
+        if whole.any():
+            x, y = (u[whole, None] + np.arange((v - u)[whole].max() + 1) for u, v in ((a0, a1), (z0, z1)))
+            x, y = np.minimum(x, a1[whole, None]), np.minimum(y, z1[whole, None])
+            shape = (len(x), x.shape[1], y.shape[1])
+            pairs = [np.concatenate((p, np.broadcast_to(q, shape).ravel())) for p, q in zip(pairs, (x[:, :, None], y[:, None, :]), strict=True)]
+        low, high, down, _ = cut.at(*pairs)
+        if not np.all(down > 0):
             return None, None, None
-        spread = w @ half / n
-        up = sxx + w @ (np.abs(dx) * 2 * half) + w @ ((half + spread) ** 2 + half**2)
-        a, z = w @ y0 / n, w @ y1 / n  # the mean of all lies between
-        away = np.maximum(np.abs(y1 - a), np.abs(y0 - z))
-        inside = np.maximum(mx - y0, y1 - mn)
-        e = w @ (half * (away + 2 * inside))
-        flat = w * dx
-        sxy0, sxy1 = np.minimum(flat * y0, flat * y1).sum(), np.maximum(flat * y0, flat * y1).sum()
-        ends = [s / d for s in (sxy0 - e, sxy1 + e) for d in (down, up)]
-        lows.append(min(ends))
-        highs.append(max(ends))
-        est = (sxy0 + sxy1) / 2 / sxx  # of the last choice, which takes all points in
-    return (est, min(lows), max(highs)) if lows else (None, None, None)
+        lo, hi = min(lo, low.min()), max(hi, high.max())
+        box = box[:, ~whole]
+        low, high = cut.reach(*box)
+        a0, a1, z0, z1 = box[:, (low < lo) | (high > hi)]
+        am, zm = (a0 + a1) // 2, (z0 + z1) // 2
+        box = np.concatenate([np.stack(b) for b in ((a0, am, z0, zm), (am + 1, a1, z0, zm), (a0, am, zm + 1, z1), (am + 1, a1, zm + 1, z1))], axis=1)
+        box = box[:, (box[0] <= box[1]) & (box[2] <= box[3])]
+    if not lo <= hi:
+        return None, None, None
+    return float(cut.at(*(np.array([k]) for k in cut.k))[3][0]), float(lo), float(hi)
+
+
+class _Cut:
+    """Bounds of the slope of parts of which the outer two may be cut, by the numbers a and z of their points inside.
+
+    The sums over known parts are polynomials, or piecewise linear, in the means
+    of time and value, so a pair of numbers takes the same work however many parts there are.
+    """
+
+    def __init__(self, parts: np.ndarray, end: float):
+        left, right = parts[0, 0] < 0, len(parts) > 1 and parts[-1, 1] > end or len(parts) == 1 and parts[0, 0] >= 0 and parts[0, 1] > end
+        inner = parts[int(left) : len(parts) - int(right)]
+        # Slopes don't depend on the origin; a near one keeps digits.
+        x, y = end / 2, parts[:, 3].sum() / parts[:, 2].sum()
+        f, t, w, sm, mn, mx = inner.T
+        self.w, m, h, v = w, (f + t) / 2 - x, (t - f) / 2, sm / w - y
+        self.n, self.m1, self.m2, self.v1, self.mv = w.sum(), w @ m, w @ (m * m), w @ v, w @ (m * v)
+        self.h1, self.h2 = w @ h, w @ (h * h)
+        self.inside = w @ (h * np.maximum(mx - y - v, v - (mn - y)))
+        self.far_x, self.far_y = _distances(m, w * h), _distances(v, w * h)
+        # Of each end: number of points, middle and half width of what is inside, sum, minimum and maximum.
+        none = (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        outer = []
+        for p, there in ((parts[0], left), (parts[-1], right)):
+            f, t = max(p[0], 0.0), min(p[1], end)
+            outer.append((int(p[2]), (f + t) / 2 - x, (t - f) / 2, p[3] - p[2] * y, p[4] - y, p[5] - y) if there else none)
+        self.k, self.mid, self.half, self.sm, self.mn, self.mx = zip(*outer, strict=True)
+
+    def kinks(self, side: int) -> list[float]:
+        """Numbers of points at which the limits of the inner sum bend."""
+        wide = self.mx[side] - self.mn[side]
+        if not wide > 0:
+            return []
+        up = (self.sm[side] - self.k[side] * self.mn[side]) / wide
+        return [up, self.k[side] - up]
+
+    def limits(self, side: int, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and largest sum of c points inside."""
+        sm, mn, mx, out = self.sm[side], self.mn[side], self.mx[side], self.k[side] - c
+        low, high = np.maximum(c * mn, sm - out * mx), np.minimum(c * mx, sm - out * mn)
+        return np.where(c > 0, low, 0.0), np.where(c > 0, high, 0.0)
+
+    def means(self, a: np.ndarray, z: np.ndarray) -> list[np.ndarray]:
+        """Number of points, mean time, mean half width, least and largest mean value."""
+        n = self.n + a + z
+        per = 1 / np.maximum(n, 1)
+        (l0, l1), (r0, r1) = self.limits(0, a), self.limits(1, z)
+        return [n, (self.m1 + a * self.mid[0] + z * self.mid[1]) * per, (self.h1 + a * self.half[0] + z * self.half[1]) * per, (self.v1 + l0 + r0) * per, (self.v1 + l1 + r1) * per]
+
+    def at(self, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(low, high, down, est) of pairs; those without two parts and two points are infinite."""
+        n, x, spread, y0, y1 = self.means(a, z)
+        sxx, less = self.m2 - x * (2 * self.m1 - x * self.n), self.far_x(x)
+        e = self.far_y((y0 + y1) / 2) + self.h1 * np.abs(y1 - y0) / 2 + 2 * self.inside
+        sxy0 = sxy1 = self.mv - x * self.v1
+        hh = self.h2
+        for side, c in ((0, a), (1, z)):
+            d, half, (low, high) = self.mid[side] - x, self.half[side], self.limits(side, c)
+            sxx, less, hh = sxx + c * d * d, less + c * half * np.abs(d), hh + c * half * half
+            e = e + half * (np.maximum(np.abs(high - c * y0), np.abs(low - c * y1)) + 2 * np.maximum(c * self.mx[side] - low, high - c * self.mn[side]))
+            sxy0, sxy1 = sxy0 + np.minimum(d * low, d * high), sxy1 + np.maximum(d * low, d * high)
+        ok = (len(self.w) + (a > 0) + (z > 0) >= 2) & (n >= 2)
+        down, up = sxx - 2 * less, sxx + 2 * less + 2 * hh + 3 * spread * spread * n
+        down = np.where(ok, np.where(down > 1e-12 * (sxx + 2 * less), down, 0.0), np.inf)  # what rounding leaves isn't above 0
+        with np.errstate(all="ignore"):
+            low, high = np.minimum((sxy0 - e) / down, (sxy0 - e) / up), np.maximum((sxy1 + e) / down, (sxy1 + e) / up)
+            return np.where(ok, low, np.inf), np.where(ok, high, -np.inf), down, (sxy0 + sxy1) / 2 / sxx
+
+    def reach(self, a0: np.ndarray, a1: np.ndarray, z0: np.ndarray, z1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values that low and high of no pair of a box pass; infinite where it may have an undefined one. Limits don't bend inside a box."""
+        corners = zip(*(self.means(a, z) for a in (a0, a1) for z in (z0, z1)), strict=True)
+        (_, n1), (x0, x1), (_, spread), (u0, u1), (v0, v1) = ((np.minimum.reduce(c), np.maximum.reduce(c)) for c in map(list, corners))
+        sxx = lambda x: self.m2 - x * (2 * self.m1 - x * self.n)
+        least, most = sxx(np.clip(self.m1 / max(self.n, 1), x0, x1)), np.maximum(sxx(x0), sxx(x1))
+        less, hh = np.maximum(self.far_x(x0), self.far_x(x1)), self.h2
+        e = np.maximum(self.far_y((u0 + v0) / 2), self.far_y((u1 + v1) / 2)) + self.h1 * np.maximum(v1 - u0, u1 - v0) / 2 + 2 * self.inside
+        sxy0, sxy1 = (g(self.mv - x0 * self.v1, self.mv - x1 * self.v1) for g in (np.minimum, np.maximum))
+        for side, c0, c1 in ((0, a0, a1), (1, z0, z1)):
+            d0, d1, half = self.mid[side] - x1, self.mid[side] - x0, self.half[side]
+            far, near = np.maximum(np.abs(d0), np.abs(d1)), np.where((d0 < 0) & (d1 > 0), 0.0, np.minimum(np.abs(d0), np.abs(d1)))
+            least, most, less, hh = least + c0 * near * near, most + c1 * far * far, less + c1 * half * far, hh + c1 * half * half
+            (l0, h0), (l1, h1) = self.limits(side, c0), self.limits(side, c1)
+            low, high = np.minimum(l0, l1), np.maximum(h0, h1)
+            times = [d * s for d in (d0, d1) for s in (low, high)]
+            sxy0, sxy1 = sxy0 + np.minimum.reduce(times), sxy1 + np.maximum.reduce(times)
+            u, v = ([c * y for c in (c0, c1) for y in ys] for ys in ((u0, u1), (v0, v1)))
+            away = [high - np.minimum.reduce(u), np.maximum.reduce(u) - np.minimum(h0, h1), np.maximum.reduce(v) - low, np.maximum(l0, l1) - np.minimum.reduce(v)]
+            inside = [g for c, l, h in ((c0, l0, h0), (c1, l1, h1)) for g in (c * self.mx[side] - l, h - c * self.mn[side])]
+            e = e + half * (np.maximum.reduce(away) + 2 * np.maximum.reduce(inside))
+        down, up = least - 2 * less, most + 2 * less + 2 * hh + 3 * spread * spread * n1
+        with np.errstate(all="ignore"):
+            low = np.where(sxy0 - e < 0, (sxy0 - e) / down, (sxy0 - e) / up)
+            high = np.where(sxy1 + e > 0, (sxy1 + e) / down, (sxy1 + e) / up)
+        return np.where(down > 0, low, -np.inf), np.where(down > 0, high, np.inf)
+
+
+def _distances(at: np.ndarray, weights: np.ndarray):
+    """x -> the sum of weights times distances of x to `at`."""
+    order = np.argsort(at)
+    at, weights = at[order], weights[order]
+    w, wx = (np.concatenate(([0.0], np.cumsum(v))) for v in (weights, weights * at))
+
+    def total(x: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(at, x)
+        return np.maximum(x * (2 * w[i] - w[-1]) - (2 * wx[i] - wx[-1]), 0.0)
+
+    return total
 
 
 def unit_error(bounds: DataFrame) -> DataFrame:
