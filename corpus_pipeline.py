@@ -29,6 +29,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: 0.8 or more of the 5-word shingles of two texts are common to both.
 
+    Candidates come from SimHash under covering masks and, for texts whose
+    fingerprints are further apart, from minhash; all are checked exactly.
     That with the smallest id stays, one without an id only where no other has
     one; of rows that repeat id and text one stays.  Null and empty texts are
     copies of each other.
@@ -60,7 +62,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("near duplicates", near_duplicates), ("repeated passages", passages), ("decontamination", decontaminated), ("BPE encoding", encoded)]
 
-#: SQL has neither the learned grammar nor the minhash of near duplicates nor BPE.
+#: SQL has neither the learned grammar nor the fingerprints and minhash of near duplicates nor BPE.
 ORACLE_SQL = None
 
 

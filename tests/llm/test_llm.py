@@ -440,6 +440,21 @@ def test_near_duplicate_stage_drops_planted_near_copies(spark, monkeypatch, fami
     assert left == sorted(set(names)) and corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
 
 
+@pytest.mark.parametrize("family", [0, 1 << 20])
+def test_near_duplicate_stage_goes_by_fingerprints(spark, monkeypatch, family):
+    """Alone, where minhash gives no candidates; what is near by fingerprint only is left after the exact check."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(nearcopies, "FAMILY", family)
+    monkeypatch.setattr(nearcopies, "SHARED_KEYS", nearcopies.KEYS + 1)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(words[:-1] + ["end"]), "a b c d e " * 50, "a b c d e " * 50 + " ".join(f"t{i}" for i in range(20)), "other words here", None, ""]
+    fps = simhash.fingerprints_of(pa.array(texts)).tolist()
+    assert all((fps[i] ^ fps[j]).bit_count() <= 3 for i, j in ((0, 1), (0, 2), (3, 4)))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [0, 3, 4, 5, 6]
+
+
 def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
     import corpus_pipeline
 

@@ -1,12 +1,16 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard index of 0.8 or more.
 
 Texts with the same set are one class.  Classes that may be near others come
-from minhash: 32 keys of 4 minima each, of which 3 must be shared.  A pair with
-an index of 0.8 has 13 in common on average, fewer than 3 with a probability of
-1 in 80,000, and less above; of the keys of a text a quarter of which is a
-passage of others, 1 in 256 is shared.  Pairs to be checked exactly come from the centre of each key and, for
-what that leaves apart, from the rarest shingles, so a large group of copies
-isn't compared all to all.
+from SimHash, by the covering masks of operator 2 (simhash.groups()): those
+whose fingerprints are connected within 3 bits.  Most pairs with an index just
+above 0.8 are 4 bits apart and more, and a radius for all of them would take
+thousands of masks.  So there also is minhash: 32 keys of 4 minima each, of
+which 3 must be shared.  A pair with an index of 0.8 has 13 in common on average,
+fewer than 3 with a probability of 1 in 80,000, and less above; of the keys of a
+text a quarter of which is a passage of others, 1 in 256 is shared.  A component
+of fingerprints is one more key, which needs no others.  Pairs to be checked
+exactly come from the centre of each key and, for what that leaves apart, from
+the rarest shingles, so a large group of copies isn't compared all to all.
 
 Definitions: words are `[^\\x20\\x09-\\x0D]+` with A-Z as a-z; a text of fewer than
 5 words has all of them as its only shingle.  Shingles are equal when their
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrowtext, graph, setjoin, workspace
+from tidemark.llm import arrowtext, graph, setjoin, simhash, workspace
 
 SHINGLE, KEYS, ROWS, SEED = 5, 32, 4, 43
 #: Keys of a class that other classes have too, at least, for it to be looked at.
@@ -85,7 +89,7 @@ def keys_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def prints(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, same, cls, n, keys): a hash of the text, one of its set of shingles, the size of that and its minhash keys."""
+    """(key, same, cls, n, keys, fp): a hash of the text, one of its set of shingles, the size of that, its minhash keys and the SimHash fingerprint of the text."""
     kind = df.schema[key].dataType.simpleString()
 
     @arrowtext.tidy
@@ -96,9 +100,9 @@ def prints(df: DataFrame, text: str, key: str) -> DataFrame:
                 n = np.diff(bounds)
                 ends = np.concatenate(([0], np.cumsum(np.where(n > 0, KEYS, 0)))).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys_of(hashes, bounds).view(np.int64).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(classes_of(hashes, bounds)), pa.array(n.astype(np.int64)), keys], [key, "same", "cls", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(classes_of(hashes, bounds)), pa.array(n.astype(np.int64)), keys, pa.array(simhash.fingerprints_of(part.column(2)).view(np.int64))], [key, "same", "cls", "n", "keys", "fp"])
 
-    return df.select(key, F.xxhash64(text).alias("same"), text).mapInArrow(run, f"`{key}` {kind}, same bigint, cls bigint, n bigint, keys array<bigint>")
+    return df.select(key, F.xxhash64(text).alias("same"), text).mapInArrow(run, f"`{key}` {kind}, same bigint, cls bigint, n bigint, keys array<bigint>, fp bigint")
 
 
 def sets(df: DataFrame, text: str) -> DataFrame:
@@ -114,20 +118,35 @@ def sets(df: DataFrame, text: str) -> DataFrame:
     return df.select(text).mapInArrow(run, "cls bigint, elements array<bigint>")
 
 
-def links(df: DataFrame, classes: DataFrame, text: str, key: str) -> DataFrame:
+def fingerprint_keys(rows: DataFrame) -> DataFrame:
+    """(k, cls, n, met) of classes, from prints(), whose fingerprints are connected to those of others: k names the component, met are its classes."""
+    marked = workspace.written(rows.where("n > 0").groupBy("fp", "cls").agg(F.first("n").alias("n")), "marked")
+    prints = workspace.written(marked.groupBy("fp").agg(F.count("*").alias("marks")), "fingerprints")
+    parts = simhash.groups(prints.select("fp")).withColumnRenamed("node", "fp")
+    named = prints.join(parts, "fp", "left").select("fp", "marks", F.xxhash64(F.lit("fp"), F.coalesce("component", "fp")).alias("k"))
+    total = marked.count()
+    each = workspace.lookup(marked, workspace.written(named, "named"), ["fp"], "marks", total).select("k", "cls", "n").distinct()
+    each = workspace.written(each, "fingerprint-keys")
+    shared = each.groupBy("k").agg(F.count("*").alias("met")).where("met > 1")
+    return workspace.written(workspace.lookup(each, workspace.written(shared, "shared"), ["k"], "met", total).select("k", "cls", "n", "met"), "fingerprint-keys")
+
+
+def links(df: DataFrame, classes: DataFrame, marks: DataFrame, text: str, key: str) -> DataFrame:
     """Pairs (a, b) of classes that connect what pairs with an index of LEAST or more connect.
 
-    Classes that share keys, directly or over others, are a family.  A family of
+    marks: fingerprint_keys().  Classes that share keys, directly or over others, are a family.  A family of
     up to FAMILY shingles is one task's work (family_links()), a larger one is
     spread over all (spread_links()).
     """
     total = classes.count() * KEYS
     each = classes.select(F.explode("keys").alias("k"), "cls", "n")
     shared = workspace.written(each.groupBy("k").agg(F.count("*").alias("met")).where("met > 1"), "shared")
-    level = workspace.written(workspace.lookup(each, shared, ["k"], "met", total), "candidates")
-    met = level.groupBy("cls").agg(F.sum("met").alias("popular"), F.count("*").alias("keys")).where(F.col("keys") >= SHARED_KEYS)
-    met = workspace.written(met.select("cls", "popular"), "met")
-    level = workspace.written(level.join(met, "cls").select("k", "cls", "n", "met", "popular"), "candidates")
+    level = workspace.lookup(each, shared, ["k"], "met", total).select("k", "cls", "n", "met", F.lit(False).alias("alone"))
+    level = workspace.written(level.unionByName(marks.withColumn("alone", F.lit(True))), "candidates")
+    enough = F.col("alone") | (F.col("keys") >= SHARED_KEYS)
+    met = level.groupBy("cls").agg(F.sum("met").alias("popular"), F.count_if(~F.col("alone")).alias("keys"), F.max("alone").alias("alone")).where(enough)
+    met = workspace.written(met.select("cls", "popular", "keys"), "met")
+    level = workspace.written(level.join(met, "cls").where(enough).select("k", "cls", "n", "met", "popular"), "candidates")
     # The class of each key that shares most with others: in a group of copies that is the text they stem from.
     centre = level.groupBy("k").agg(F.max(F.struct("popular", "cls")).getField("cls").alias("centre"), F.count("*").alias("met"))
     near = workspace.lookup(level.drop("met"), workspace.written(centre, "centres"), ["k"], "met", total)
@@ -247,7 +266,7 @@ def components(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     one = F.min(F.struct(F.col("same"), F.col(key).alias("key"))).alias("one")
     classes = rows.groupBy("cls").agg(one, F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("rows"))
     classes = workspace.written(classes.select("cls", "one.*", "n", "keys", "rows"), "classes")
-    parts = graph.components(links(df, classes, text, key)).withColumnRenamed("node", "cls")
+    parts = graph.components(links(df, classes, fingerprint_keys(rows), text, key)).withColumnRenamed("node", "cls")
     names = classes.select("cls", "rows").join(parts, "cls", "left").select("cls", "rows", F.coalesce("component", "cls").alias("component"))
     return workspace.lookup(rows.select(key, "same", "cls"), workspace.written(names, "names"), ["cls"], "rows", rows.count()).select(key, "same", "cls", "component")
 
