@@ -5,6 +5,7 @@ import random
 import subprocess
 import sys
 import time
+from datetime import timedelta
 from pathlib import Path
 
 import duckdb
@@ -366,6 +367,18 @@ def test_wide_csv_keeps_points_of_one_time(spark, tmp_path):
     assert len(want) > len(set(want)) and rows(registry.QUERIES["wide_csv_source"](spark, str(tmp_path)).toPandas()) == want
 
 
+def test_wide_csv_keeps_points_of_all_times(spark, tmp_path):
+    """Also before the origin of the queries' grids and a year after it."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    shifted = [events.withColumn("ts", events.ts + timedelta(days)) for days in (-40, 365)]
+    events.unionByName(shifted[0]).unionByName(shifted[1]).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = rows(con.sql("SELECT epoch_us(ts) // 1000 AS ts_ms, event_type AS id, value FROM events").df())
+    assert len(want) == 3 * events.count() and rows(registry.QUERIES["wide_csv_source"](spark, str(tmp_path)).toPandas()) == want
+    assert rows(con.sql(registry.ORACLE_SQL["wide_csv_source"]).df()) == want
+
+
 def test_database_is_read_by_other_processes(tmp_path):
     """With executors of their own, which don't see the memory of the driver."""
     code = f"""

@@ -431,12 +431,12 @@ def sink_wide_csv(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.option("header", True).schema("timestamp bigint, click double, view double").csv(path)
 
 
-@query(f"WITH {S} SELECT ts_ms, id, value FROM s WHERE ts_ms < {ORIGIN + 5 * DAY}")
+@query(f"WITH {S} SELECT ts_ms, id, value FROM s")
 def wide_csv_source(spark: SparkSession, sf: str) -> DataFrame:
     """All points of all measures written as a wide CSV with times as text, and read as a series."""
     path = workspace.fresh(spark, "csv")
-    ids = [r["id"] for r in series(spark, sf).select("id").distinct().orderBy("id").collect()]
-    points = src.within(series(spark, sf), ORIGIN, ORIGIN + 5 * DAY)
+    points = series(spark, sf)
+    ids = [r["id"] for r in points.select("id").distinct().orderBy("id").collect()]
     table = catalog.wide_rows(points, ids).withColumn("timestamp", timeunits.to_text(F.col("timestamp")))
     table.write.option("header", True).csv(path)
     return src.from_csv(spark, path, "timestamp", ids, "yyyy-MM-dd HH:mm:ss.SSS").select("ts_ms", "id", "value")
